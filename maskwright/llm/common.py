@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +79,17 @@ def ascii_lower(text: Column) -> Column:
 
 def crc_mod(id_col: str, by: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: executors fetch it as a zip file, once."""
+    context = spark.sparkContext
+    if getattr(context, "_maskwright", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="maskwright-")) / "maskwright.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for x in sorted(package.rglob("*.py")):
+            out.write(x, x.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._maskwright = True
