@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, langid, licenses, mixing, simhash, tokens
+from . import chat, decontam, exact, langid, licenses, lm, mixing, simhash, tokens
 from .common import crc_mod
 
 
@@ -59,7 +59,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 5) == 1
+    out = lm.score(_read(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score)}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
