@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, langid, licenses, lm, mixing, simhash, tokens
+from . import chat, decontam, exact, langid, licenses, lm, mixing, simhash, suffix, tokens
 from .common import crc_mod
 
 
@@ -24,6 +24,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "mix_block", "mix_slot", "mix_rank", "in_mix")
 
@@ -65,7 +69,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score)}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
