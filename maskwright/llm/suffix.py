@@ -352,7 +352,8 @@ def repeated_ranges(texts: DataFrame, marked: DataFrame, splitters: np.ndarray,
             yield from merged(rows)
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(sort, _RUNS)
+    # A left join, as the one that cuts the texts: both then read one exchange.
+    runs = texts.join(places, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(sort, _RUNS)
     return runs.repartition(n, "key").sortWithinPartitions("kind", "key", "id").mapInArrow(combine, "doc_id long, start int, end int")
 
 
