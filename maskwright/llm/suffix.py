@@ -272,6 +272,8 @@ def repeated_ranges(texts: DataFrame, marked: DataFrame, splitters: np.ndarray,
     most = length - kmer(length)
     places = marked.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     names = [x.split()[0] for x in _RUNS.split(", ")]
+    pack = lambda b: len(b).to_bytes(4) + pa.compress(b, codec="zstd", asbytes=True)
+    unpack = lambda b: pa.decompress(b[4:], int.from_bytes(b[:4]), codec="zstd", asbytes=True)
     types = [pa.int32(), pa.int8(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
 
     def settled(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -295,7 +297,7 @@ def repeated_ranges(texts: DataFrame, marked: DataFrame, splitters: np.ndarray,
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             common, rest = front_code(right[i:j], after[i:j])
             lefts = left[i:j][np.arange(most) < before[i:j, None]].tobytes()
-            blobs = [doc[i:j].tobytes(), pos[i:j].astype(np.int32).tobytes(), after[i:j].astype(np.int16).tobytes(), common.astype(np.int16).tobytes(), rest, before[i:j].astype(np.int16).tobytes(), lefts]
+            blobs = [doc[i:j].tobytes(), pos[i:j].astype(np.int32).tobytes(), after[i:j].astype(np.int16).tobytes(), common.astype(np.int16).tobytes(), pack(rest), before[i:j].astype(np.int16).tobytes(), pack(lefts)]
             row = [int(ranges[i]), 0, (int(doc[i]) * 1_000_003 + int(pos[i])) % 2**63, j - i, *blobs]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
@@ -324,8 +326,8 @@ def repeated_ranges(texts: DataFrame, marked: DataFrame, splitters: np.ndarray,
         for r in rows:
             after, common, before = (np.frombuffer(r[x], np.int16).astype(np.int64) for x in ("after", "common", "before"))
             left = np.zeros((r["n"], most), np.uint8)
-            left[np.arange(most) < before[:, None]] = np.frombuffer(r["lefts"], np.uint8)
-            runs.append((front_decode(common.tolist(), after.tolist(), r["rest"]), common.tolist()))
+            left[np.arange(most) < before[:, None]] = np.frombuffer(unpack(r["lefts"]), np.uint8)
+            runs.append((front_decode(common.tolist(), after.tolist(), unpack(r["rest"])), common.tolist()))
             parts.append((np.frombuffer(r["doc"], np.int64), np.frombuffer(r["pos"], np.int32).astype(np.int64), after, before, left))
         order, prefix = merge(runs)
         order = np.array(order)
