@@ -49,22 +49,31 @@ class Slots(dict):
         super().__init__()
         from xxhash import xxh64_intdigest
 
-        self.of, self.names, self.hashes = xxh64_intdigest, [], []
+        self.of, self.names, self.new = xxh64_intdigest, [], []
+        self.known = np.zeros(0, np.uint64)
         for token in head:
             self[token]
         self.head = len(self.names)
 
+    def hashes(self) -> np.ndarray:
+        """By slot. Only those new since the last call are converted."""
+        if self.new:
+            self.known = np.concatenate((self.known, np.array(self.new, np.uint64)))
+            self.new = []
+        return self.known
+
     def __missing__(self, token: bytes) -> int:
         at = self[token] = len(self.names)
         self.names.append(token)
-        self.hashes.append(self.of(token, SEED))
+        self.new.append(self.of(token, SEED))
         return at
 
     def trim(self) -> None:
         if len(self.names) - self.head > MEMO:
             for token in self.names[self.head :]:
                 del self[token]
-            del self.names[self.head :], self.hashes[self.head :]
+            del self.names[self.head :]
+            self.known = self.hashes()[: self.head]
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
@@ -91,7 +100,9 @@ def features(h: np.ndarray, first: np.ndarray, buckets: int) -> tuple[np.ndarray
     one[first] = 0
     two = np.concatenate((np.zeros(1, u), one[:-1]))
     two[first] = 0
-    return (one * u(0x9E3779B97F4A7C15)) >> shift, (two * u(0xC2B2AE3D27D4EB4F) + u(1)) >> shift, (one * u(0x165667B19E3779F9) ^ two * u(0xD6E8FEB86659FD93)) >> shift
+    found = (one * u(0x9E3779B97F4A7C15)) >> shift, (two * u(0xC2B2AE3D27D4EB4F) + u(1)) >> shift, (one * u(0x165667B19E3779F9) ^ two * u(0xD6E8FEB86659FD93)) >> shift
+    # Sixteen bits sort by radix.
+    return tuple(f.astype(np.uint16 if buckets <= 2**16 else np.int64) for f in found)
 
 
 def log_softmax(weights: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
@@ -102,9 +113,19 @@ def log_softmax(weights: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def softmax(weights: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    z = weights[at[0]]
+    for f in at[1:]:
+        z += weights[f]
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def step(weights: np.ndarray, square: np.ndarray, seen: np.ndarray, at: list[np.ndarray], y: np.ndarray) -> None:
     """One AdaGrad step on a mini-batch, in place."""
-    g = np.exp(log_softmax(weights, at))
+    g = softmax(weights, at)
     g[np.arange(len(y)), y] -= 1
     for f in at:
         order = np.argsort(f, kind="stable")
@@ -152,8 +173,8 @@ def train_round(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, square, seen, slots = shared.value.copy(), np.zeros(n_features, np.float32), np.zeros(n_features, np.float32), Slots()
         for _, texts in chunks(batches):
-            h = np.array([slots[x] for words in texts for x in words], np.int64)
-            h = np.array(slots.hashes, np.uint64)[h]
+            ids = np.array([slots[x] for words in texts for x in words], np.int64)
+            h = slots.hashes()[ids]
             slots.trim()
             first = np.cumsum([0, *map(len, texts)])[:-1]
             at, y = [*features(h, first, n_features)], (h & np.uint64(classes - 1)).astype(np.int64)
@@ -205,15 +226,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, w = Slots(known.value[0]), model.value
-        hashes = np.array(slots.hashes, np.uint64)
         c = known.value[1] + 0.5
-        own = np.array(class_of)[(hashes & np.uint64(classes - 1)).astype(np.int64)]
+        own = np.array(class_of)[(slots.hashes() & np.uint64(classes - 1)).astype(np.int64)]
         base, inner = np.log10(c / base_of), np.log10(c / own) if len(c) else c
         names = ["rid", "doc_id", "token", "tf", "n_known", "base", "score"]
         for info, texts in chunks(batches):
             ids = np.array([slots[x] for words in texts for x in words], np.int64)
-            new = np.array(slots.hashes[slots.head :], np.uint64)
-            h = np.concatenate((hashes, new))[ids]
+            h = slots.hashes()[ids]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             first, doc = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(texts)), lengths)
             at, y = features(h, first, buckets), (h & np.uint64(classes - 1)).astype(np.int64)
