@@ -6,6 +6,7 @@ second is empty counts as a whole. `whole` patterns have no group that matters.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -106,3 +107,19 @@ KNOWN_CATEGORIES = ["PATIENT", "PROVIDER", "DOCTOR", "PHYSICIAN", "FAMILY", "HOS
 FUZZY_TOKEN = r"(?diuU)(?:\[|\()\s*(PATIENT|PROVIDER|DOCTOR|PHYSICIAN|FAMILY|HOSPITAL|FACILITY|ADDRESS|STREET|CITY|COUNTY|STATE|ZIP|DATE|AGE|PHONE|FAX|EMAIL|SSN|MRN|HEALTHPLAN|ACCOUNT|LICENSE|NPI|VEHICLE|DEVICE|URL|IP|BIOMETRIC|PHOTO|ACCESSION|ID)[\s_]+([A-Za-z0-9_+-]+)\s*(?:\]|\))|\[\s*([A-Za-z0-9_+-]+)\s*\]"
 BARE_TOKEN = r"(?dU)(?<!\[)\b(PATIENT_\d+|PROVIDER_[A-Za-z0-9]+|FAMILY_\d+|HOSPITAL_\d+|ADDRESS_\d+|CITY_\d+|COUNTY_\d+|ZIP_\d+|DATE_\d+|AGE_90\+_\d+|AGE_90\+|AGE_\d+|PHONE_\d+|FAX_\d+|EMAIL_\d+|SSN_\d+|MRN_\d+|HEALTHPLAN_\d+|ACCOUNT_\d+|LICENSE_\d+|NPI_\d+|VEHICLE_\d+|DEVICE_\d+|URL_\d+|IP_\d+|BIOMETRIC_\d+|PHOTO_\d+|ACCESSION_\d+|ID_\d+)\b(?!\])"
 AGE_TWICE = [(r"(?diuU)\b(\d+-(?:year-old|yr-old)|nonagenarian|centenarian)\s+(?:years?\s+old|yo|y/o|yr\s+old|yrs\s+old)\b", "$1"), (r"(?diuU)\b(\d+(?:th|st|nd|rd)\s+birthday)\s+birthday\b", "$1")]
+
+#: What a text must hold, in lower case, for a pattern to match: one of these. `\d` is any digit.
+#: Most texts hold none, and a search for a fixed string costs a hundredth of the pattern's.
+_KIN = ["mother", "father", "brother", "sister", "son", "daughter", "child", "guardian", "uncle", "aunt", "spouse", "husband", "wife", "cousin", "contact", "niece", "nephew"]
+NEEDS = {
+    "ssn": [r"\d"], "mrn": ["mrn", "mr#", "record", "chart", "patient", "account"], "phone": [r"\d"], "fax": [r"\d"], "email": ["@"], "ipv4": [r"\d"], "ipv6": [":"], "url": ["http"], "mbi": [r"\d"],
+    "healthplan": ["bcbs-", "grp-", "insur", "policy", "group", "member", "medicaid", "mbi"], "account": ["har", "billing", "guarantor", "account", "acct"], "npi": [r"\d"], "dea": [r"\d"],
+    "license": ["license", "dl", "-"], "vin": ["vin", "vehicle"], "plate": ["plate", "tag"], "device": ["sn", "s/n", "serial", "udi", "device", "implant", "lot-", "("],
+    "biometric": ["retinal", "fingerprint", "voiceprint", "dna", "biometric", "voice-bio"], "photo": [".jpg", ".jpeg", ".png", ".dicom", ".dcm", ".tiff", ".gif"],
+    "accession": ["accession", "specimen", "subject", "trial", "case", "microarray", "protocol", "pathology", "barcode", "-"], "street": [r"\d"], "zip": [r"\d"], "gps": [r"\d"], "city_state_zip": [r"\d"],
+    "county": ["county"], "date": [r"\d"], "age": [r"\d", "nonagenarian", "centenarian"], "patient_header": [":", "#"], "patient_honorific": ["mr", "ms", "miss"], "patient_narrative": ["patient", "pt"],
+    "provider_header": ["att", "consultant", "resident", "fellow", "surgeon", "physician", "pathologist", "dictat", "transcri", "signed", "certified", "provider", "nurse", "counselor", "therapist", "psychologist", "audiologist", "pharmacist"],
+    "family_header": _KIN, "family_narrative": _KIN, "facility_header": ["facility", "clinic", "hospital", "dept", "location", "site"],
+    "hospital": ["hospital", "center", "system", "clinic", "infirmary", "institute", "foundation", "living", "care", "hospice", "pavilion", "suite", "department", "school"],
+    "city": sorted({re.split(r"\\", c)[0].lower() for c in CITY.regex[5:-3].split("|")}),
+}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import Pattern
+from .patterns import NEEDS, Pattern
 
 SPAN = "struct<seq:int,start:int,end:int,category:string,text:string,confidence:double,source:string,shifted_text:string,custom_token:string>"
 
@@ -30,9 +30,17 @@ def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def matches(text: Column, regex: Column | str, groups: int = 0) -> Column:
+def gate(p: Pattern, low: Column, digit: Column) -> Column:
+    """Whether the pattern may match. low: the text in lower case; digit: whether it has one."""
+    out = F.contains(low, F.lit("ſ"))  # it folds to s in a pattern, but not in low
+    for x in NEEDS.get(p.name, [""]):
+        out = out | (digit if x == r"\d" else F.contains(low, F.lit(x)))
+    return out
+
+
+def matches(text: Column, regex: Column | str, groups: int = 0, when: Column | None = None) -> Column:
     """array<struct<at, m, g1...>>: start and text of each match, and its groups' texts ('' for
-    those that take no part)."""
+    those that take no part). when: a cheap condition without which there is no match."""
     pattern = F.lit(regex) if isinstance(regex, str) else regex
     kind = ",".join(["at:int", "m:string", *[f"g{i}:string" for i in range(1, groups + 1)]])
     found = F.struct(*[F.regexp_extract_all(text, pattern, F.lit(i)).alias(f"g{i}") for i in range(groups + 1)], F.split(text, pattern, -1).alias("gaps"))
@@ -48,7 +56,8 @@ def matches(text: Column, regex: Column | str, groups: int = 0) -> Column:
     def place(x: Column) -> Column:
         return let(starts(x), lambda at: F.transform(x["g0"], lambda m, i: F.struct(F.get(at, i).alias("at"), m.alias("m"), *[F.get(x[f"g{j}"], i).alias(f"g{j}") for j in range(1, groups + 1)])))
 
-    return F.when(F.regexp(text, pattern), let(found, place)).otherwise(F.array().cast(f"array<struct<{kind}>>"))
+    has = F.regexp(text, pattern)
+    return F.when(has if when is None else when & has, let(found, place)).otherwise(F.array().cast(f"array<struct<{kind}>>"))
 
 
 def span(start: Column, end: Column, category: str, text: Column, confidence: float, source: str, custom: str | None = None) -> Column:
@@ -56,15 +65,15 @@ def span(start: Column, end: Column, category: str, text: Column, confidence: fl
     return F.struct(F.lit(0).alias("seq"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(category).alias("category"), text.alias("text"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("shifted_text"), F.lit(custom).cast("string").alias("custom_token"))
 
 
-def find_spans(text: Column, p: Pattern, custom: str | None = None) -> Column:
-    """The pattern's spans in text, in order."""
+def find_spans(text: Column, p: Pattern, custom: str | None = None, when: Column | None = None) -> Column:
+    """The pattern's spans in text, in order. when: as in matches()."""
 
     def make(start: Column, value: Column, shown: Column, size: Column) -> Column:
         return span(start, start + size, p.category, shown, p.confidence, p.source, custom)
 
     if p.kind in ("whole", "trimmed"):
         shown = strip if p.kind == "trimmed" else lambda x: x
-        return F.transform(matches(text, p.java), lambda x: make(x["at"], x["m"], shown(x["m"]), F.length(x["m"])))
+        return F.transform(matches(text, p.java, 0, when), lambda x: make(x["at"], x["m"], shown(x["m"]), F.length(x["m"])))
     if p.kind == "value":
 
         def value(x: Column) -> Column:
@@ -72,9 +81,9 @@ def find_spans(text: Column, p: Pattern, custom: str | None = None) -> Column:
             v = F.when(own, x["g2"]).otherwise(x["m"])
             return make(x["at"] + F.when(own, F.length(x["g1"])).otherwise(0), v, v, F.length(v))
 
-        return F.transform(matches(text, p.java, 2), value)
+        return F.transform(matches(text, p.java, 2, when), value)
     if p.kind == "stripped":
-        return F.transform(matches(text, p.java, 2), lambda x: let(strip(x["g2"]), lambda v: make(x["at"] + F.length(x["g1"]), v, v, F.length(v))))
+        return F.transform(matches(text, p.java, 2, when), lambda x: let(strip(x["g2"]), lambda v: make(x["at"] + F.length(x["g1"]), v, v, F.length(v))))
     raise ValueError(p.kind)
 
 
