@@ -53,7 +53,7 @@ def build_notes(df: DataFrame, segments_col: str = "segments", days: Column | No
 
     def step(acc: Column, s: Column) -> Column:
         end = acc["at"] + F.length(s["text"])
-        moved = F.coalesce(F.date_format(F.date_add(F.try_to_timestamp(s["text"], s["format"]).cast("date"), days), s["format"]), s["text"])
+        moved = F.coalesce(F.call_function("date_format", F.date_add(F.try_to_timestamp(s["text"], s["format"]).cast("date"), days), s["format"]), s["text"])
         entity = F.struct(acc["at"].alias("start"), end.alias("end"), s["text"].alias("text"), s["category"].alias("category"), s["surrogate"].alias("surrogate"), F.when((s["category"] == "DATE") & s["format"].isNotNull(), moved).alias("shifted_date"))
         return F.struct(end.alias("at"), F.when(s["category"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(entity))).alias("found"))
 
