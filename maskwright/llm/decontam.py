@@ -43,7 +43,8 @@ def words(text: Column) -> Column:
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index, a table in the shared folder: term, doc_id, pos. vocabulary: word, term."""
-    found = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.concat(words(F.col(text_col)), F.array(F.lit(END)))).alias("pos", "word"))
+    # The outer form: Spark would find the words twice to skip rows without any.
+    found = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.concat(words(F.col(text_col)), F.array(F.lit(END)))).alias("pos", "word"))
     found = found.select("doc_id", "pos", ascii_lower(F.col("word")).alias("word"))
     return table(found.join(bounded(vocabulary), "word").select("term", "doc_id", "pos").sortWithinPartitions("term"), "postings")
 
