@@ -80,7 +80,7 @@ def cells(nodes: DataFrame) -> DataFrame:
     for half in (0, 1):
         up = "transform(filter(sequence(0, 15), i -> (shiftrightunsigned(h, 2 * i + 1) & 1L) = 0), i -> h + shiftleft(1L, 2 * i))"
         found = nodes.withColumn("h", _half(half)).withColumn("o", _half(1 - half))
-        found = found.select("fp", "rep", "h", "o", F.posexplode(F.expr(f"concat(array(h), {up})")).alias("i", "cell"))
+        found = found.select("fp", "rep", "h", "o", F.posexplode_outer(F.expr(f"concat(array(h), {up})")).alias("i", "cell"))
         parts.append(found.select(F.expr(f"cell + {half} * 4294967296L").alias("key"), "fp", "rep", "o", (F.col("i") == 0).alias("own")))
     every = parts[0].unionByName(parts[1])
     own = nodes.select(F.explode(F.array(_half(0), _half(1) + F.lit(2**32))).alias("key"))
