@@ -94,23 +94,37 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tu
         yield ids, texts
 
 
+def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary array of int32 values, cut at ends."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32) * 4
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype(np.int32).tobytes())])
+
+
 def repeated_anchors(rows: DataFrame, length: int) -> DataFrame:
-    """doc_id, pos of the anchors of rows (doc_id, text) whose k bytes come up again."""
+    """doc_id, places (int32 in binary) of the anchors of rows (doc_id, text) whose k bytes come
+    up again. A document has several rows."""
+    names = ["key", "kind", "doc_id", "pos", "places"]
 
-    def settle(found: list[tuple]) -> pa.RecordBatch:
+    def settle(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
-        h, doc, pos = h[order], doc[order], pos[order]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        n = np.diff(np.concatenate((np.flatnonzero(first), [len(h)])))
-        many = np.repeat(n > 1, n)
-        kind = np.where(many, 2, 0).astype(np.int8)
-        # Anchors known to repeat need no meeting and are spread; one of each tells the others.
-        key = np.where(many, doc * 0x9E3779B1 + pos, h.view(np.int64))
-        rep = first & many
-        key = np.concatenate((key, h[rep].view(np.int64)))
-        zero = np.zeros(int(rep.sum()), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate((kind, zero.astype(np.int8) + 1))), pa.array(np.concatenate((doc, zero))), pa.array(np.concatenate((pos, zero)).astype(np.int32))], ["key", "kind", "doc_id", "pos"])
+        s = h[order]
+        first = np.concatenate(([True], s[1:] != s[:-1]))
+        n = np.diff(np.concatenate((np.flatnonzero(first), [len(s)])))
+        many = np.empty(len(h), bool)
+        many[order] = np.repeat(n > 1, n)
+        # Those that come up once here have yet to meet others; one of each of the rest tells them.
+        rep = s[first][n > 1]
+        one = ~many
+        key = np.concatenate((h[one], rep)).view(np.int64)
+        zero = np.zeros(len(rep), np.int64)
+        kind = np.concatenate((np.zeros(int(one.sum()), np.int8), np.ones(len(rep), np.int8)))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(np.concatenate((doc[one], zero))), pa.array(np.concatenate((pos[one], zero)).astype(np.int32)), pa.nulls(len(key), pa.binary())], names)
+        doc, pos = doc[many], pos[many]  # documents come one after another
+        if len(doc):
+            ends = np.flatnonzero(np.concatenate((doc[1:] != doc[:-1], [True]))) + 1
+            ids = doc[ends - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(ids * 0x9E3779B1), pa.array(np.full(len(ids), 2, np.int8)), pa.array(ids), pa.array(np.zeros(len(ids), np.int32)), _blobs(pos, ends)], names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = [], 0
@@ -122,21 +136,21 @@ def repeated_anchors(rows: DataFrame, length: int) -> DataFrame:
             found.append((h, np.array(ids, np.int64)[doc], at - (ends - sizes)[doc]))
             n += len(at)
             if n >= LOCAL:
-                yield settle(found)
+                yield from settle(found)
                 found, n = [], 0
         if n:
-            yield settle(found)
+            yield from settle(found)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos)], ["doc_id", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(doc), _blobs(pos, np.arange(1, len(pos) + 1))], ["doc_id", "places"])
 
         last = None  # the last row met, which the next batch may repeat: key, kind, doc, pos, repeated
         for batch in batches:
-            key, kind, doc, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, kind, doc, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
             known = kind == 2
             if known.any():
-                yield out(doc[known], pos[known])
+                yield batch.select(["doc_id", "places"]).filter(pa.array(known))
                 key, kind, doc, pos = key[~known], kind[~known], doc[~known], pos[~known]
             if not len(key):
                 continue
@@ -146,18 +160,18 @@ def repeated_anchors(rows: DataFrame, length: int) -> DataFrame:
                 if last[0] == key[0]:
                     again[0], last = True, (*last[:4], True)
                 if last[4] and last[1] == 0:
-                    yield out(np.array([last[2]]), np.array([last[3]], np.int32))
+                    yield out(np.array([last[2]]), np.array([last[3]]))
             last = (key[-1], kind[-1], doc[-1], pos[-1], bool(again[-1]))
             use = again & (kind == 0)
             use[-1] = False
             if use.any():
                 yield out(doc[use], pos[use])
         if last is not None and last[4] and last[1] == 0:
-            yield out(np.array([last[2]]), np.array([last[3]], np.int32))
+            yield out(np.array([last[2]]), np.array([last[3]]))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    moved = rows.mapInArrow(find, "key long, kind byte, doc_id long, pos int").repartition(n, "key").sortWithinPartitions("key")
-    return moved.mapInArrow(pick, "doc_id long, pos int")
+    moved = rows.mapInArrow(find, "key long, kind byte, doc_id long, pos int, places binary").repartition(n, "key").sortWithinPartitions("key")
+    return moved.mapInArrow(pick, "doc_id long, places binary")
 
 
 def front_code(strings: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -268,9 +282,9 @@ _RUNS = "key int, kind byte, id long, n int, doc binary, pos binary, after binar
 
 
 def repeated_ranges(texts: DataFrame, marked: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
-    """doc_id, start, end (bytes) of ranges to remove. texts: doc_id, text; marked: doc_id, pos."""
+    """doc_id, start, end (bytes) of ranges to remove. texts: doc_id, text; marked: doc_id, places."""
     most = length - kmer(length)
-    places = marked.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    places = marked.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     names = [x.split()[0] for x in _RUNS.split(", ")]
     pack = lambda b: len(b).to_bytes(4) + pa.compress(b, codec="zstd", asbytes=True)
     unpack = lambda b: pa.decompress(b[4:], int.from_bytes(b[:4]), codec="zstd", asbytes=True)
@@ -309,7 +323,7 @@ def repeated_ranges(texts: DataFrame, marked: DataFrame, splitters: np.ndarray,
                 at = batch.column(2)[i].values
                 if at is None or not len(at):
                     continue
-                at = np.unique(at.to_numpy(zero_copy_only=False).astype(np.int64))
+                at = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in at]).astype(np.int64))
                 text = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
                 at = at[at < len(text)]
                 padded = np.concatenate((np.zeros(most, np.uint8), text, np.zeros(length, np.uint8)))
