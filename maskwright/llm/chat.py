@@ -10,7 +10,7 @@ Template: `<|turn|>role<|text|>text<|end|>` for each message. In roles and texts
 becomes `\\s` and a backslash and `e` go behind the first character of each control string;
 undoing that gives the text back exactly, whatever it holds.
 
-Defined results: null text, role and score count as empty, empty and 0; repeated
+Defined results: rows without a conversation or message id are left out; null text, role and score count as empty, empty and 0; repeated
 (conversation, message) rows keep one (the largest role, text, parent, score); messages on a
 cycle have no root and are in no path; an empty table gives no rows; other columns are
 ignored.

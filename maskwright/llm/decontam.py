@@ -14,7 +14,8 @@ rarest term's postings and joins the others by (document, block of positions).
 Phrases and terms are joined by broadcast while a count shows them to be few, else by
 shuffle; hot terms are then split by the adaptive join.
 
-Defined results: a null or empty text has no words; rows that repeat an id have one word
+Defined results: a null or empty text has no words; a row without an id has its words counted and
+is never hit; an item without an id is matched and not named; rows that repeat an id have one word
 count each and share the hits of the id; items without a word have no window; items that
 share a window all count; empty tables give no rows; other columns are ignored.
 """

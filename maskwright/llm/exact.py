@@ -10,8 +10,8 @@ with more than one row are then settled by comparing the bytes of their texts: a
 holds several texts is divided by text.
 
 Defined results: a null text counts as empty, all empty texts are copies of one another;
-ids that repeat count as separate rows of one group (keep_id is the largest id); an empty
-table gives no rows; other columns are ignored.
+ids that repeat count as separate rows of one group, kept alike (keep_id is the largest id); a
+null id is below all others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,4 +93,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if divided is not None:
         out = out.unionByName(divided)
     keep = F.coalesce("keep_id", "id")
-    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (keep == F.col("id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

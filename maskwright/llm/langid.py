@@ -11,7 +11,7 @@ has a fixed bound and it can be broadcast.
 
 Defined results: a null text or one without letters is `und` with score 0, and so is every
 text if there is nothing to learn from; texts that fit all languages alike get the most
-frequent one; repeated rows get the same answer; an empty table gives no rows; other columns
+frequent one; null ids and languages are not learned from; repeated rows get the same answer; an empty table gives no rows; other columns
 pass through, except that `lang_pred` and `lang_score` are replaced.
 """
 
@@ -50,7 +50,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if len(docs) > 1_000:
         raise ValueError("over 1,000 languages")
     if not docs:
-        return {"langs": []}
+        return {"langs": [], "prior": np.zeros(0), "words": ([], np.zeros((0, 0), np.float32)), "grams": ([], np.zeros((0, 0), np.float32))}
     share = F.create_map(*[F.lit(x) for lang, n in docs.items() for x in (lang, min(1.0, max_docs / n))])[F.col(lang_col)]
     rows = rows.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < share * 1_000_000)
 

@@ -14,7 +14,8 @@ Token counts cover all training tokens. The `head` most frequent tokens are broa
 bound; texts' other tokens meet their counts in a shuffle join. A worker works on about
 CHUNK tokens at a time, so memory depends on neither texts nor vocabulary.
 
-Defined results: a null or blank text is its end token alone; with no training rows all tokens
+Defined results: a null or blank text is its end token alone; rows on which the condition is null
+are not learned from; with no training rows all tokens
 have base probability one and the classes are equally likely; rows that repeat an id or text give
 a row each; an empty table gives no rows; other columns are ignored.
 """
@@ -242,7 +243,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 got[i : i + BATCH] = part[np.arange(len(part)), y[i : i + BATCH]]
             got /= np.log(10)
             near = ids < slots.head
-            sums = [np.bincount(doc[near], x[ids[near]], len(texts)) for x in (base, inner)]
+            sums = [np.bincount(doc[near], x[ids[near]], len(texts)).astype(np.float64) for x in (base, inner)]
             scores = sums[1] + np.bincount(doc, got, len(texts))
             known_n = np.bincount(doc[near], minlength=len(texts))
             none = pa.nulls(len(texts), pa.binary())

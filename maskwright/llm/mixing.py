@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", te
     spark = docs.sparkSession
     parts = max(1, -(-docs.count() // PART_ROWS))
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    part = F.least(F.floor(F.shiftrightunsigned(hashed, 1) / F.lit(2.0**63) * parts), F.lit(parts - 1)).cast("long")
+    part = F.least(F.floor(F.shiftrightunsigned(hashed, 1) / F.lit(2.0**63) * parts), F.lit(parts - 1)).cast("long")  # in order of the hashes as unsigned numbers
     size = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     marked = docs.drop("mix_block", "mix_slot", "mix_rank", "in_mix").withColumns({"__name": name, "__hash": hashed, "__part": part, "__size": size})
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", te
     slots = spark.createDataFrame([(k, j, t, quota[k]) for t, (k, j) in enumerate(period)], "__name string, __at long, __slot long, __quota long")
     before = F.sum("sum").over(W.partitionBy("__name").orderBy("__part")) - F.col("sum")
     offsets = table(sums.select("__name", "__part", before.alias("__before")), "offsets")
-    order = W.partitionBy("__name", "__part").orderBy("__hash", id_col, F.xxhash64(F.col(text_col)))
+    order = W.partitionBy("__name", "__part").orderBy(F.shiftrightunsigned("__hash", 1), "__hash", id_col, F.xxhash64(F.col(text_col)))
     placed = marked.join(bounded(offsets), ["__name", "__part"])
     placed = placed.withColumn("__sum", F.col("__before") + F.sum("__size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("__size"))
     quota_of = spark.createDataFrame(sorted(quota.items()), "__name string, __quota long")

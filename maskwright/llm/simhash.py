@@ -13,7 +13,8 @@ counts. In a cell the links are sought breadth first, so a dense group of copies
 spanning forest of its links, not all pairs; the components are the same.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; rows that
-repeat an id give a row each, and component_id is the smallest id; an empty table gives no
+repeat an id give a row each, and component_id is the smallest id; a null id takes part as the
+others of its fingerprint do and is no component's; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -171,7 +172,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each of docs: id, fp, component_id."""
     fps = fingerprints(docs, id_col, text_col, size)
     nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
-    found = components(links(nodes.select("fp", "rep"), bits))
+    found = components(links(nodes.where("rep is not null").select("fp", "rep"), bits))
     found = table(nodes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("n > 1 or component_id is not null").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "groups")
     drop(nodes)
     return fps.join(bounded(found), "fp", "left").select(F.col("doc_id").alias(id_col), "fp", F.coalesce("component_id", "doc_id").alias("component_id"))

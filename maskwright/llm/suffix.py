@@ -22,7 +22,7 @@ The text is shuffled once (steps 2 and 4 share it), by doc_id.
 
 Defined results: a null text is empty, and texts shorter than `length` lose nothing; repeated
 rows (id and text) are one document and give the same result each; rows of one id with
-different texts share the ranges found in either; an empty table gives no rows; other columns
+different texts share the ranges found in either; null ids are one id, the smallest; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import ship
 
 LENGTH = 100
+#: Stands for a null id.
+NO_ID = -(2**63)
 #: Bytes of text worked on at a time, and anchors among which equal ones are found at once.
 CHUNK, LOCAL = 400_000, 1_000_000
 #: Suffixes in a run.
@@ -396,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     by_id = rows.repartition(n, "doc_id")
     ranges = repeated_ranges(by_id, repeated_anchors(rows, length), splitters(rows, 4 * n), length)
     cut = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cut"))
@@ -422,4 +424,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     found = by_id.join(cut, "doc_id", "left").select("doc_id", "text", "cut").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return found.withColumnRenamed("doc_id", id_col)
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))).withColumnRenamed("doc_id", id_col)
