@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, drop, scratch, table
+from .common import BROADCAST_ROWS, bounded, drop, scratch, table
 
 #: Heads in a bucket before it splits: about 10 MB of index.
 CAPACITY = 100_000
@@ -62,7 +62,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = spark.createDataFrame([(i, b, done[b][1]) for i, b in enumerate(slots)], "slot long, bucket int, local_depth int")
     slot = F.shiftrightunsigned("key", 64 - reach) if reach else F.lit(0)
     path = scratch(spark, "buckets")
-    placed = heads.withColumn("slot", slot.cast("long")).join(F.broadcast(of), "slot").drop("slot")  # at most 2**24 slots of 16 bytes
+    of = F.broadcast(of) if len(slots) <= BROADCAST_ROWS else of
+    placed = heads.withColumn("slot", slot.cast("long")).join(of, "slot").drop("slot")
     placed.repartition("bucket").sortWithinPartitions("bucket", "key", "sha").write.parquet(path)
     return entries, spark.read.schema(placed.schema).parquet(path), of
 
