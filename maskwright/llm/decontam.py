@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.spans import let
 from .common import ascii_lower, bounded, table
 
-#: Runs of characters that are words once A-Z are lowered.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs of the characters between words; A-Z, once lowered, are in words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: In a document's words, after the last one. It is no word.
 END = "\x00"
 #: Words in a window.
@@ -39,7 +40,14 @@ RAREST = 2
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))
+    """A text's words. Splitting takes a tenth of the time of extracting; what stands before
+    the first separator or behind the last may be empty."""
+
+    def inner(w: Column) -> Column:
+        first, last = (F.get(w, F.lit(0)) == "").cast("int"), (F.get(w, F.size(w) - 1) == "").cast("int")
+        return F.slice(w, first + 1, F.greatest(F.size(w) - first - last, F.lit(0)))
+
+    return let(F.split(F.coalesce(text, F.lit("")), BETWEEN, -1), inner)
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
