@@ -18,6 +18,7 @@ class Pattern(NamedTuple):
     regex: str
     ignore_case: bool = True
     source: str = "regex"
+    needs: tuple[str, ...] = ()
 
     @property
     def java(self) -> str:

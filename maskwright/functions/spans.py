@@ -33,7 +33,7 @@ def no_spans() -> Column:
 def gate(p: Pattern, low: Column, digit: Column) -> Column:
     """Whether the pattern may match. low: the text in lower case; digit: whether it has one."""
     out = F.contains(low, F.lit("ſ"))  # it folds to s in a pattern, but not in low
-    for x in NEEDS.get(p.name, [""]):
+    for x in p.needs or NEEDS.get(p.name, [""]):
         out = out | (digit if x == r"\d" else F.contains(low, F.lit(x)))
     return out
 
@@ -43,7 +43,11 @@ def matches(text: Column, regex: Column | str, groups: int = 0, when: Column | N
     those that take no part). when: a cheap condition without which there is no match."""
     pattern = F.lit(regex) if isinstance(regex, str) else regex
     kind = ",".join(["at:int", "m:string", *[f"g{i}:string" for i in range(1, groups + 1)]])
-    found = F.struct(*[F.regexp_extract_all(text, pattern, F.lit(i)).alias(f"g{i}") for i in range(groups + 1)], F.split(text, pattern, -1).alias("gaps"))
+    none = F.array().cast(f"array<struct<{kind}>>")
+
+    def look(m: Column) -> Column:
+        found = F.struct(m.alias("g0"), *[F.regexp_extract_all(text, pattern, F.lit(i)).alias(f"g{i}") for i in range(1, groups + 1)], F.split(text, pattern, -1).alias("gaps"))
+        return F.when(F.size(m) > 0, let(found, place)).otherwise(none)
 
     def starts(x: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
@@ -56,8 +60,8 @@ def matches(text: Column, regex: Column | str, groups: int = 0, when: Column | N
     def place(x: Column) -> Column:
         return let(starts(x), lambda at: F.transform(x["g0"], lambda m, i: F.struct(F.get(at, i).alias("at"), m.alias("m"), *[F.get(x[f"g{j}"], i).alias(f"g{j}") for j in range(1, groups + 1)])))
 
-    has = F.regexp(text, pattern)
-    return F.when(has if when is None else when & has, let(found, place)).otherwise(F.array().cast(f"array<struct<{kind}>>"))
+    out = let(F.regexp_extract_all(text, pattern, F.lit(0)), look)
+    return out if when is None else F.when(when, out).otherwise(none)
 
 
 def span(start: Column, end: Column, category: str, text: Column, confidence: float, source: str, custom: str | None = None) -> Column:
