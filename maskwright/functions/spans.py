@@ -38,29 +38,40 @@ def gate(p: Pattern, low: Column, digit: Column) -> Column:
     return out
 
 
+#: Noncharacters that mark where matches and their groups stand while they are taken apart.
+_EDGE, _GROUP = "\ufdd0", "\ufdd1"
+
+
 def matches(text: Column, regex: Column | str, groups: int = 0, when: Column | None = None) -> Column:
     """array<struct<at, m, g1...>>: start and text of each match, and its groups' texts ('' for
-    those that take no part). when: a cheap condition without which there is no match."""
-    pattern = F.lit(regex) if isinstance(regex, str) else regex
-    kind = ",".join(["at:int", "m:string", *[f"g{i}:string" for i in range(1, groups + 1)]])
-    none = F.array().cast(f"array<struct<{kind}>>")
+    those that take no part). when: a cheap condition without which there is no match.
 
-    def look(m: Column) -> Column:
-        found = F.struct(m.alias("g0"), *[F.regexp_extract_all(text, pattern, F.lit(i)).alias(f"g{i}") for i in range(1, groups + 1)], F.split(text, pattern, -1).alias("gaps"))
-        return F.when(F.size(m) > 0, let(found, place)).otherwise(none)
+    One replacement marks the matches and a split takes them out: regexp_extract_all copies the whole
+    text for each match."""
+    pattern = F.lit(regex) if isinstance(regex, str) else regex
+    none = F.array().cast(f"array<struct<{','.join(['at:int', 'm:string', *[f'g{i}:string' for i in range(1, groups + 1)]])}>>")
+    marked = F.contains(text, F.lit(_EDGE)) | F.contains(text, F.lit(_GROUP))
+    clean = F.when(marked, F.translate(text, _EDGE + _GROUP, "\ufffd\ufffd")).otherwise(text)
+    shape = _EDGE + "$0" + "".join(f"{_GROUP}${i}" for i in range(1, groups + 1)) + _EDGE
+    pieces = F.split(F.regexp_replace(clean, pattern, F.lit(shape)), _EDGE, -1)
+    own = lambda piece: F.substring_index(piece, _GROUP, 1) if groups else piece
 
     def starts(x: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            at = acc["at"] + F.length(F.get(x["gaps"], i))
-            return F.struct((at + F.length(F.get(x["g0"], i))).alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
+            at = acc["at"] + F.length(F.get(x, 2 * i))
+            return F.struct((at + F.length(own(F.get(x, 2 * i + 1)))).alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
 
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["g0"]) - 1), zero, step)["all"]
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(x) - 3) / 2).cast("int")), zero, step)["all"]
+
+    def take(x: Column, at: Column) -> Column:
+        def one(a: Column, i: Column) -> Column:
+            parts = F.split(F.get(x, 2 * i + 1), _GROUP, -1) if groups else F.array(F.get(x, 2 * i + 1))
+            return let(parts, lambda p: F.struct(a.alias("at"), F.when(marked, F.substring(text, a + 1, F.length(F.get(p, F.lit(0))))).otherwise(F.get(p, F.lit(0))).alias("m"), *[F.get(p, F.lit(j)).alias(f"g{j}") for j in range(1, groups + 1)]))
 
-    def place(x: Column) -> Column:
-        return let(starts(x), lambda at: F.transform(x["g0"], lambda m, i: F.struct(F.get(at, i).alias("at"), m.alias("m"), *[F.get(x[f"g{j}"], i).alias(f"g{j}") for j in range(1, groups + 1)])))
+        return F.transform(at, one)
 
-    out = let(F.regexp_extract_all(text, pattern, F.lit(0)), look)
+    out = let(pieces, lambda x: F.when(F.size(x) > 1, let(starts(x), lambda at: take(x, at))).otherwise(none))
     return out if when is None else F.when(when, out).otherwise(none)
 
 

@@ -42,7 +42,7 @@ def test_what_isnt_found(spark):
 @pytest.mark.parametrize("p", [p for p in P.STRUCTURED if p.kind == "whole"] + [P.DATE, P.GPS], ids=lambda p: p.name)
 def test_offsets_equal_python(spark, p):
     """Patterns without groups give what Python's re gives, among accents and other scripts."""
-    bits = ["123-45-6789", "é", "10.0.0.1", "a@b.co", "字", "\U0001f600", "May 3, 2020", "5 Elm St", "12345", "\xa0", "http://x.y", "2001:db8:0:0:0:0:0:1", "1EG4TE5MK73", "41.123, -71.456", "\n"]
+    bits = ["123-45-6789", "é", "10.0.0.1", "a@b.co", "字", "\U0001f600", "May 3, 2020", "5 Elm St", "12345", "\xa0", "http://x.y", "2001:db8:0:0:0:0:0:1", "1EG4TE5MK73", "41.123, -71.456", "\n", "\ufdd0a\ufdd1"]
     texts = [sep.join(bits[i:] + bits[:i]) for sep in (" ", "é", "") for i in range(len(bits))]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = {r.i: [(s.start, s.end, s.text) for s in r.s] for r in df.select("i", find_spans(F.col("text"), p).alias("s")).collect()}
