@@ -44,8 +44,14 @@ def _strings(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Small tables come in one piece; their rows are dealt to all cores. Larger ones stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders")
+    o = _spread(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int") + 1)
     day = F.col("o_orderdate")
     parts = {
@@ -88,7 +94,7 @@ def _rows(df: DataFrame, key: str, spans: Column) -> DataFrame:
 
 
 def _spans_of(*patterns: P.Pattern) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: _rows(_read(spark, sf, "documents"), "doc_id", F.concat(*[find_spans(F.coalesce("text", F.lit("")), p) for p in patterns]))
+    return lambda spark, sf: _rows(_spread(_read(spark, sf, "documents").select("doc_id", "text")), "doc_id", F.concat(*[find_spans(F.coalesce("text", F.lit("")), p) for p in patterns]))
 
 
 for _name, _patterns in (("email", [P.EMAIL]), ("ip", [P.IPV4, P.IPV6]), ("phone", [P.PHONE])):
@@ -124,7 +130,7 @@ def masked_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with everything the detectors find as tokens."""
-    return deidentify(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "masked_text", "entity_count", "date_shift_days", "leak_check_passed")
+    return deidentify(_spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "masked_text", "entity_count", "date_shift_days", "leak_check_passed")
 
 
 _AGE_SQL = "(age || '-year-old')"

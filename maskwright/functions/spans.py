@@ -6,7 +6,7 @@ of both. Offsets count code points; ends are exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,28 @@ from .patterns import NEEDS, Pattern
 SPAN = "struct<seq:int,start:int,end:int,category:string,text:string,confidence:double,source:string,shifted_text:string,custom_token:string>"
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strings(values: Iterable[str]) -> Column:
+    """A constant array, in one call."""
+    return F.expr(f"array({', '.join(map(_quoted, values))})")
+
+
+def lookup(table: Mapping[str, str | int]) -> Column:
+    """A constant map, in one call."""
+    return F.expr(f"map({', '.join(_quoted(k) + ', ' + (_quoted(v) if isinstance(v, str) else str(v)) for k, v in table.items())})")
+
+
+def among(x: Column, values: Iterable[str]) -> Column:
+    return F.array_contains(strings(values), x)
+
+
+def holds_any(text: Column, words: Iterable[str]) -> Column:
+    return F.exists(strings(words), lambda w: F.contains(text, w))
+
+
 def strip(x: Column) -> Column:
     """Without white space, of any script, at the ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -32,10 +54,9 @@ def no_spans() -> Column:
 
 def gate(p: Pattern, low: Column, digit: Column) -> Column:
     """Whether the pattern may match. low: the text in lower case; digit: whether it has one."""
-    out = F.contains(low, F.lit("ſ"))  # it folds to s in a pattern, but not in low
-    for x in p.needs or NEEDS.get(p.name, [""]):
-        out = out | (digit if x == r"\d" else F.contains(low, F.lit(x)))
-    return out
+    needs = p.needs or NEEDS.get(p.name, [""])
+    found = holds_any(low, ["ſ", *[x for x in needs if x != r"\d"]])  # ſ folds to s in a pattern, but not in low
+    return digit | found if r"\d" in needs else found
 
 
 #: Noncharacters that mark where matches and their groups stand while they are taken apart.
