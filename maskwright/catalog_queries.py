@@ -170,7 +170,7 @@ def _style_sql(style: str) -> str:
        + " UNION ALL SELECT o_orderkey, delta, strftime(day, '%B %Y'), CASE WHEN len(strftime(day, '%B')) <= 4 THEN strftime(make_date(year(day), month(day), 15) + delta, '%b %Y') ELSE strftime(make_date(year(day), month(day), 15) + delta, '%B %Y') END, make_date(year(day), month(day), 15) + delta FROM o")
 def date_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates in six styles, moved by each customer's offset."""
-    o = _read(spark, sf_dir, "orders").withColumn("delta_days", dates.offset_days(F.col("o_custkey").cast("string")))
+    o = _spread(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).withColumn("delta_days", dates.offset_days(F.col("o_custkey").cast("string")))
     texts = F.array(*[F.date_format("o_orderdate", a) for a, _ in [*_STYLES, ("MMMM yyyy", "")]])
     rows = o.select("o_orderkey", "delta_days", F.explode(texts).alias("original")).withColumn("s", dates.shift_date(F.col("original"), F.col("delta_days")))
     return rows.select("o_orderkey", "delta_days", "original", F.col("s.shifted_text").alias("shifted"), F.col("s.shifted_date").alias("shifted_date"))
