@@ -15,6 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of at most this many rows is broadcast when it holds only keys of a few bytes
 #: (about 100 bytes a row in the hash table: 50 MB). Larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
+ROW = "__row"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +72,11 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(bounded(ids), id_col, "left_anti")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the number of each row in ROW, written so that the numbers stay; docs itself if it has them."""
+    return docs if ROW in docs.columns else table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else. lower() also folds other letters, so it serves
     only where every character is one byte."""

@@ -37,19 +37,27 @@ DENSE = 256
 SMALL = 32
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """The text's SimHash as a signed 64-bit number."""
+def hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The hash of each of the text's shingles of `size` words; of all its words if they are fewer."""
     from xxhash import xxh64_intdigest
 
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - size + 1)
     spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-    h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """The text's SimHash as a signed 64-bit number."""
+    h = hashes(text, size)
+    n = len(h)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
         counts += np.unpackbits(h[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
