@@ -51,7 +51,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    out = chat.format_trees(chat.as_trees(rows))
+    # format_trees leaves rows without a conversation out; here they are one, as in the SQL.
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
+    out = chat.format_trees(chat.as_trees(rows.withColumn("conv_id", key)))
+    out = out.withColumn("conv_id", F.when(F.col("conv_id") != "null", F.expr("substring(conv_id, 2)")).cast(rows.schema["conv_id"].dataType))
     turns = chat.read_back(F.col("formatted"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     out = out.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), chat.under_mask(F.col("formatted"), F.col("loss")).alias("lost"), F.length("formatted").cast("long").alias("formatted_chars"))
