@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .hashing import mix, powers, runs
 
 MAX_DOCS, LONGEST, SMOOTH = 4_000, 5, 0.5
 PIECE = 250_000
 #: Where a long text may be cut: characters that are in no word.
 GAP = re.compile(r"[\W\d_]")
-_ODD = 0x9E3779B97F4A7C15
 
 
 @cache
@@ -46,30 +46,13 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _ODD and of its inverse, modulo 2^64."""
-    n = 2**bits
-    return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64)))) for x in (_ODD, pow(_ODD, -1, 2**64)))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each run of letters."""
-    edge = np.flatnonzero(np.diff(_letters()[codes], prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(max(19, len(codes).bit_length()))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])))
-    return start, end, _mix((sums[end] - sums[start]) * down[start])
+    return runs(codes, _letters())
 
 
 def grams(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
@@ -82,14 +65,14 @@ def grams(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     place = np.arange(last[-1] if len(last) else 0)
     marked = codes[np.clip(np.repeat(start - 1 - first, size) + place, 0, len(codes) - 1)] if len(place) else codes[:0]
     marked[first], marked[last - 1] = ord("<"), ord(">")
-    room, value = np.repeat(last, size) - place, _mix(marked.astype(np.uint64) + np.uint64(1))
+    room, value = np.repeat(last, size) - place, mix(marked.astype(np.uint64) + np.uint64(1))
 
     def run() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        up, total = _powers(19)[0], np.zeros(len(place), np.uint64)
+        up, total = powers(0)[0], np.zeros(len(place), np.uint64)
         for n in range(1, LONGEST + 1):
             if len(place) >= n:
                 total[: len(place) - n + 1] += value[n - 1 :] * up[n]
-            yield n, _mix(total + np.uint64(n)), room >= n
+            yield n, mix(total + np.uint64(n)), room >= n
 
     return first, size, run()
 
