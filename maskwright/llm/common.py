@@ -9,12 +9,13 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A side of at most this many rows is broadcast when it holds only keys of a few bytes
-#: (about 100 bytes a row in the hash table: 50 MB). Larger sides are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: A side is broadcast if it has at most this many rows (some 100 bytes each in the hash table besides
+#: what they hold) and its strings and arrays at most that many bytes. Larger sides are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 ROW = "__row"
 
 
@@ -61,10 +62,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else as it is. df is a
-    written table, so that the count reads footers only."""
-    return F.broadcast(df) if df.count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small enough, else as it is. df is a written table, so
+    that the count reads footers only; strings and arrays, if any, are measured."""
+    if df.count() > rows:
+        return df
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    if wide and (df.agg(F.sum(F.octet_length(F.to_json(F.struct(*wide))))).first()[0] or 0) > most:
+        return df
+    return F.broadcast(df)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -72,8 +72,10 @@ def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_
     """item_id, win, k, term: the words of each window. An item of fewer words is one window."""
     got = items.select(F.col(id_col).alias("item_id"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(ascii_lower(w))).alias("w")).where(F.size("w") > 0)
     got = got.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))).alias("s"))
-    got = got.select("item_id", F.slice("w", F.col("s") + 1, size).alias("w")).select("item_id", F.xxhash64("w").alias("win"), "w").distinct()
-    return table(got.select("item_id", "win", F.posexplode("w").alias("k", "term")), "windows")
+    got = table(got.select("item_id", F.slice("w", F.col("s") + 1, size).alias("w")).distinct(), "items")
+    # Windows are numbered, not hashed: two never share a number.
+    of = table(got.select("w").distinct().withColumn("win", F.monotonically_increasing_id()), "numbers")
+    return table(got.join(of, "w").select("item_id", "win", F.posexplode("w").alias("k", "term")), "windows")
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame, rarest: int = RAREST) -> DataFrame:
@@ -122,7 +124,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     wins = windows(items, size, text_col=text_col)
     matches = phrase_matches(index, wins)
     hit = matches.select("doc_id", F.explode(F.sequence("start", (F.col("start") + F.col("length") - 1).cast("int"))).alias("pos")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    items_of = matches.join(bounded(table(wins.select("win", F.col("item_id").cast("string").alias("item")).distinct(), "items")), "win").groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    # The items are joined to what matched, a row a document and window.
+    items_of = matches.select("doc_id", "win").distinct().join(bounded(table(wins.select("win", F.col("item_id").cast("string").alias("item")).distinct(), "items")), "win").groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     found = table(hit.join(items_of, "doc_id"), "hits")
     ends = index.where(F.col("term") == F.xxhash64(F.lit(END))).select("doc_id", F.col("pos").cast("long").alias("n_words"))
     out = ends.join(bounded(found), "doc_id", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
