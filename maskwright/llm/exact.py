@@ -4,10 +4,13 @@ Every text becomes an index entry (64-bit key, SHA-256, id). Entries of one key
 fold into a chain head before the shuffle, so a group of copies of any size costs one row a
 map task. A directory over the leading key bits starts with one bucket and splits each
 bucket that holds more than `capacity` heads, doubling itself whenever a bucket as deep as
-the directory splits; a bucket whose heads share all directory bits chains instead. Owner
-tasks write the heads bucket by bucket, each a range of keys, to the shared folder. Chains
-with more than one row are then settled by comparing the bytes of their texts: a chain that
-holds several texts is divided by text.
+the directory splits; a bucket whose heads share all directory bits chains instead. The splits follow from the
+numbers of heads under all prefixes at once, as a table: the driver holds no slots. Owner
+tasks write the heads bucket by bucket, each a range of keys, to the shared folder.
+
+Chains are read from the buckets: keys with more than one row, whether copies or collisions. Their texts, and no
+others, move; copies fold before they do, and are told apart by their bytes. A chain's head in its bucket
+then names the row that stays, and one that holds several texts is divided by text.
 
 Defined results: a null text counts as empty, all empty texts are copies of one another;
 ids that repeat count as separate rows of one group, kept alike (keep_id is the largest id); a
@@ -19,73 +22,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, drop, scratch, table
+from .common import bounded, table
 
 #: Heads in a bucket before it splits: about 10 MB of index.
 CAPACITY = 100_000
 
 
-def directory(counts: dict[int, int], depth: int, capacity: int) -> tuple[int, list[int], list[tuple[int, int]]]:
-    """The directory after all splits, from the number of heads by leading `depth` bits.
-
-    Returns the global depth, the bucket number of each directory slot, and each bucket's
-    (prefix, local depth). A bucket at `depth` bits isn't split further; its heads chain."""
-    total = [0] * (2**depth + 1)
-    for i in range(2**depth):
-        total[i + 1] = total[i] + counts.get(i, 0)
-    reach, todo, done = 0, [(0, 0)], []
-    while todo:
-        prefix, local = todo.pop()
-        width = 2 ** (depth - local)
-        if total[(prefix + 1) * width] - total[prefix * width] <= capacity or local == depth:
-            done.append((prefix, local))
-            continue
-        reach = max(reach, local + 1)  # the directory doubles if this bucket was as deep as it
-        todo += [(2 * prefix + 1, local + 1), (2 * prefix, local + 1)]
-    slots = []
-    for number, (_, local) in enumerate(done):  # in key order
-        slots += [number] * 2 ** (reach - local)
-    return reach, slots, done
+def directory(counts: DataFrame, depth: int, capacity: int) -> DataFrame:
+    """slot, bucket, local_depth for each of counts (slot, n: heads by their leading `depth` bits), after all
+    splits. A bucket is a prefix of local_depth bits, numbered as 1 followed by it, whose heads fit while those of
+    the prefix before don't; at `depth` bits it isn't split further, its heads chain."""
+    prefixes = counts.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("local_depth"))
+    prefixes = prefixes.withColumn("prefix", F.expr(f"shiftright(slot, {depth} - local_depth)"))
+    sums = table(prefixes.groupBy("local_depth", "prefix").agg(F.sum("n").alias("n")), "prefixes")
+    split = sums.where(F.col("n") > capacity).select((F.col("local_depth") + 1).alias("local_depth"), F.explode(F.array(2 * F.col("prefix"), 2 * F.col("prefix") + 1)).alias("prefix"))
+    ends = sums.where((F.col("n") <= capacity) | (F.col("local_depth") == depth))
+    found = ends.join(split, ["local_depth", "prefix"], "left_semi").unionByName(ends.where("local_depth = 0"))
+    found = table(found.select("local_depth", "prefix"), "ends")
+    at = prefixes.select("slot", "local_depth", "prefix").join(bounded(found), ["local_depth", "prefix"])
+    return table(at.select("slot", F.expr("shiftleft(1L, local_depth) + prefix").alias("bucket"), "local_depth"), "directory")
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, heads by bucket, directory), each a table in the shared folder."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     entries = table(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha")), "entries")
     heads = entries.groupBy("key", "sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("size"))
     # Entries bound the heads; six more bits than an even spread needs leave room for uneven ones.
-    depth = min(24, max(1, entries.count() // capacity).bit_length() + 6)
-    leading = F.shiftrightunsigned("key", 64 - depth)
-    counts = {r[0]: r[1] for r in heads.groupBy(leading.alias("p")).count().collect()}
-    reach, slots, done = directory(counts, depth, capacity)
-    of = spark.createDataFrame([(i, b, done[b][1]) for i, b in enumerate(slots)], "slot long, bucket int, local_depth int")
-    slot = F.shiftrightunsigned("key", 64 - reach) if reach else F.lit(0)
-    path = scratch(spark, "buckets")
-    of = F.broadcast(of) if len(slots) <= BROADCAST_ROWS else of
-    placed = heads.withColumn("slot", slot.cast("long")).join(of, "slot").drop("slot")
-    placed.repartition("bucket").sortWithinPartitions("bucket", "key", "sha").write.parquet(path)
-    return entries, spark.read.schema(placed.schema).parquet(path), of
+    depth = min(60, max(1, entries.count() // capacity).bit_length() + 6)
+    heads = heads.withColumn("slot", F.shiftrightunsigned("key", 64 - depth))
+    of = directory(table(heads.groupBy("slot").agg(F.count("*").alias("n")), "counts"), depth, capacity)
+    placed = heads.join(bounded(of), "slot").drop("slot")
+    return entries, table(placed.repartition("bucket").sortWithinPartitions("bucket", "key", "sha"), "buckets"), of
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """A row for each of docs: id, keep_id, group_size, kept, text_sha256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     entries, heads, _ = build_index(docs, id_col, text_col, capacity)
-    chains = table(heads.where("size > 1").select("key").distinct(), "chains")
+    chains = table(heads.groupBy("bucket", "key").agg(F.sum("size").alias("n")).where("n > 1").select("bucket", "key"), "chains")
     # Byte comparison: only texts in chains move, and copies fold before they do.
-    members = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
-    members = members.join(bounded(chains), "key", "left_semi")
-    texts = members.groupBy("key", F.unhex(F.sha2("text", 256)).alias("sha"), "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("size"))
+    members = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text")).join(bounded(chains), "key")
+    texts = members.groupBy("bucket", "key", F.unhex(F.sha2("text", 256)).alias("sha"), "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("size"))
     texts = table(texts, "texts")
-    drop(chains)
-    several = texts.groupBy("key", "sha").count().where("count > 1").select("key", "sha")
-    one = texts.select("key", "sha", "keep_id", "size")
+    found = texts.groupBy("bucket", "key", "sha").agg(F.count("*").alias("texts"))
+    chained = table(heads.join(found, ["bucket", "key", "sha"]), "chained")
+    one, several = chained.where("texts = 1").select("key", "sha", "keep_id", "size"), chained.where("texts > 1").select("bucket", "key", "sha")
     divided = None
     if not several.isEmpty():
         several = table(several, "several")
-        of = texts.join(several, ["key", "sha"], "left_semi")
-        one = one.join(several, ["key", "sha"], "left_anti")
+        of = texts.join(several, ["bucket", "key", "sha"], "left_semi")
         rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
         rows = rows.withColumns({"key": F.xxhash64("text"), "sha": F.unhex(F.sha2("text", 256))})
         divided = rows.join(of.select("key", "sha", "text", "keep_id", "size"), ["key", "sha", "text"]).select("id", "key", "sha", "keep_id", "size")
