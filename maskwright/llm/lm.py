@@ -1,23 +1,28 @@
 """LM scoring by a hashed maximum-entropy model with class-factored softmax.
 
-The probability of a token is that of its class, one of `classes` by hash, given hashed features
-of the text before it (the last word, the word before that, both together), times that of the
-token within its class, the maximum-entropy solution for one weight a token: its smoothed
-share of the class's training tokens. Scores are log10 probabilities of whole texts.
-
-Class weights are trained in rounds. In each round the training documents of one slice, dealt by a
-hash of their ids, are gone through once: every task starts from the shared weights, makes
-AdaGrad steps over mini-batches, and hands back its change of each feature's weights, which
-are averaged by how often the feature came up. All rounds together see every training token.
-
-Token counts cover all training tokens. The `head` most frequent tokens are broadcast, a fixed
-bound; texts' other tokens meet their counts in a shuffle join. A worker works on about
-CHUNK tokens at a time, so memory depends on neither texts nor vocabulary.
+Tokens are leaves of a tree of classes: a token's probability is the product, from the root down, of the
+probabilities of the class (one of WAYS) that it is in, given the classes above and the text before. Each is
+a softmax over the sum of a bias, the logarithm of the classes' training counts, and the weights of hashed
+features: the last word, a skip back to the last of the COMMON most frequent words before it, and both (an
+n-gram), each joined with the place in the tree. Frequent tokens are near the root, so features bear on the
+token itself; from the LEVELS-th class on, of less than one token in some thousands, there is the bias only. The
+`head` most frequent tokens have leaves of their own; all others share one, which another level
+divides by hash; in the end such a token has its smoothed share of its group. Scores are log10
+probabilities of whole texts.
+
+Weights are trained in passes over all training rows, each in rounds of as many slices. The rows are dealt to slices and
+parts by a hash of id and text; the number of parts follows from the number of tokens alone. In a round each part starts from the shared weights, makes
+AdaGrad steps over mini-batches, and hands back its change of each feature's weights, which are averaged by how often
+the feature came up: first within shards of features, each summed by one task, then put together. So scores do not depend on partitions
+or cores. The number of hashed features grows with the tokens, up to 2^MOST_BITS (a bound: 32 MB of weights).
+
+Token counts cover all training tokens. The head is broadcast, a fixed bound; texts' other tokens meet their counts
+in a shuffle join. A worker works on about CHUNK tokens at a time, long texts in pieces of PIECE bytes that keep
+their context, so memory depends on neither texts nor vocabulary.
 
 Defined results: a null or blank text is its end token alone; rows on which the condition is null
-are not learned from; with no training rows all tokens
-have base probability one and the classes are equally likely; rows that repeat an id or text give
-a row each; an empty table gives no rows; other columns are ignored.
+are not learned from; with no training rows all tokens have base probability one and the groups of unknown ones are
+equally likely; rows that repeat an id or text give a row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +37,31 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 
-CLASSES, FEATURES, ROUNDS, HEAD = 32, 2**14, 2, 2**18
-RATE, BATCH, SHARDS, CHUNK, SEED = 0.2, 8192, 16, 200_000, 42
+WAYS, LEVELS, COMMON, PASSES, ROUNDS, HEAD = 16, 3, 1024, 1, 2, 2**18
+#: A hashed feature for each so many training tokens, between these powers of two; rows of a shard; tokens of a part.
+PER_FEATURE, LEAST_BITS, MOST_BITS, SHARD, PART = 256, 12, 20, 2**14, 8_000_000
+RATE, BATCH, CHUNK, PIECE, SEED = 0.15, 32_768, 200_000, 1_000_000, 42
 END = b""
+#: Hash levels below the leaf that tokens outside the head share.
+TAIL = 1
+#: Tokens of the piece before that a piece keeps as context.
+BACK = 200
 #: Distinct tokens of which a worker keeps hashes, and counts before it hands them on.
-MEMO, FLUSH = 300_000, 400_000
+MEMO, FLUSH = 100_000, 200_000
+BLANKS = b" \t\n\v\f\r"
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END]
+def pieces(text: bytes | None) -> Iterator[tuple[list[bytes], int]]:
+    """The text's tokens, in pieces, each with the number of tokens at its start that are context only."""
+    text, i, last = text or b"", 0, []
+    while len(text) - i > PIECE:
+        j = i + PIECE
+        while j < len(text) and text[j] not in BLANKS:
+            j += 1
+        found = last + text[i:j].lower().split()
+        yield found, len(last)
+        i, last = j, found[-BACK:]
+    yield [*last, *text[i:].lower().split(), END], len(last)
 
 
 class Slots(dict):
@@ -77,66 +98,152 @@ class Slots(dict):
             self.known = self.hashes()[: self.head]
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Rows, without their text, and their tokens, about CHUNK tokens at a time."""
-    rows, texts, n = [], [], 0
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]], np.ndarray]]:
+    """Rows, without their text, their tokens and how many of these are context, about CHUNK tokens at a time."""
+    rows, texts, skips, n = [], [], [], 0
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns[1:]]
         for i, text in enumerate(batch.column(0)):
-            rows.append([c[i] for c in columns])
-            texts.append(tokens(text.as_py()))
-            n += len(texts[-1])
-            if n >= CHUNK:
-                yield rows, texts
-                rows, texts, n = [], [], 0
+            for found, skip in pieces(text.as_py()):
+                rows.append([c[i] for c in columns])
+                texts.append(found)
+                skips.append(skip)
+                n += len(found)
+                if n >= CHUNK:
+                    yield rows, texts, np.array(skips)
+                    rows, texts, skips, n = [], [], [], 0
     if rows:
-        yield rows, texts
-
-
-def features(h: np.ndarray, first: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the last word, the one before, and both. h: token hashes of whole texts one
-    after another; first: where each text starts."""
-    shift, u = np.uint64(65 - buckets.bit_length()), np.uint64
-    one = np.concatenate((np.zeros(1, u), h[:-1]))
-    one[first] = 0
-    two = np.concatenate((np.zeros(1, u), one[:-1]))
-    two[first] = 0
-    found = (one * u(0x9E3779B97F4A7C15)) >> shift, (two * u(0xC2B2AE3D27D4EB4F) + u(1)) >> shift, (one * u(0x165667B19E3779F9) ^ two * u(0xD6E8FEB86659FD93)) >> shift
-    # Sixteen bits sort by radix.
-    return tuple(f.astype(np.uint16 if buckets <= 2**16 else np.int64) for f in found)
-
-
-def log_softmax(weights: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
-    z = weights[at[0]]
-    for f in at[1:]:
-        z += weights[f]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def softmax(weights: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
-    z = weights[at[0]]
-    for f in at[1:]:
-        z += weights[f]
-    z -= z.max(axis=1, keepdims=True)
+        yield rows, texts, np.array(skips)
+
+
+class Tree:
+    """The tree of classes over tokens 0 to n - 1, in order of falling counts, and the tail as token n."""
+
+    def __init__(self, counts: np.ndarray, tail: float) -> None:
+        mass = np.concatenate((counts.astype(float), [max(tail, 0.5)]))
+        sums = np.concatenate(([0.0], np.cumsum(mass)))
+        bias, todo = [], [(0, len(mass), 0)]
+        above, digit = np.full(len(mass), -1), np.zeros(len(mass), np.int8)  # each token's last step
+        up, way = [-1], [0]  # each node's own
+        while todo:  # nodes are cut into WAYS runs of about equal mass
+            a, b, node = todo.pop()
+            while len(bias) <= node:
+                bias.append(np.full(WAYS, -1e9, np.float32))
+            k = np.arange(1, WAYS)
+            cuts = np.searchsorted(sums, sums[a] + (sums[b] - sums[a]) * k / WAYS)
+            # No run is empty while there are tokens for it.
+            cuts = np.minimum(np.maximum.accumulate(np.minimum(np.maximum(cuts, a + k), np.maximum(b - WAYS + k, a)) - k) + k, b)
+            edges = [a, *cuts.tolist(), b]
+            for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if x == y:
+                    continue
+                bias[node][k] = np.log((sums[y] - sums[x]) / (sums[b] - sums[a]))
+                if y - x == 1:
+                    above[x], digit[x] = node, k
+                else:
+                    up.append(node)
+                    way.append(k)
+                    todo.append((x, y, len(up) - 1))
+        self.tail = len(bias)  # the first node below the tail's leaf
+        self.bias = np.stack([*bias, *[np.zeros(WAYS, np.float32)] * sum(WAYS**i for i in range(TAIL))])
+        # Each token's steps, from its leaf up.
+        steps, node, way_ = [], above.copy(), digit.astype(np.int64)
+        tokens, up, way = np.arange(len(mass)), np.array(up), np.array(way)
+        level = np.zeros(len(up), np.int64)
+        for i in range(1, len(up)):  # a node comes after the one above
+            level[i] = level[up[i]] + 1
+        while len(tokens):
+            steps.append((tokens, node, way_))
+            on = up[node] >= 0
+            tokens, node, way_ = tokens[on], up[node[on]], way[node[on]]
+        token, node, way_ = (np.concatenate(x) for x in zip(*steps, strict=True))
+        self.bias -= np.log(np.exp(self.bias).sum(axis=1, keepdims=True))
+        # Steps below the levels with features have a constant probability.
+        near = level[node] < LEVELS
+        self.rest = np.bincount(token[~near], self.bias[node[~near], way_[~near]], len(mass))
+        token, node, way_ = token[near], node[near], way_[near]
+        order = np.argsort(token, kind="stable")
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(mass)))))
+        self.node, self.way = node[order].astype(np.int32), way_[order].astype(np.int32)
+
+    def steps(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, node and way of the steps with features of tokens, by number (n or more: the tail) and hash."""
+        n = len(self.first) - 2
+        which = np.minimum(ids, n)
+        first = self.first[which]
+        size = self.first[which + 1] - first
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), size)
+        at = np.arange(len(owner)) + (first - (np.cumsum(size) - size))[owner]
+        owners, nodes, ways = [owner], [self.node[at]], [self.way[at]]
+        rest, base, place = np.flatnonzero(ids >= n).astype(np.int32), self.tail, np.zeros(int((ids >= n).sum()), np.int32)
+        for i in range(TAIL):
+            digit = ((h[rest] >> np.uint64(8 * i)) & np.uint64(WAYS - 1)).astype(np.int32)
+            owners.append(rest)
+            nodes.append(base + place)
+            ways.append(digit)
+            base, place = base + WAYS**i, place * WAYS + digit
+        return np.concatenate(owners), np.concatenate(nodes), np.concatenate(ways)
+
+
+def group_of(h: np.ndarray) -> np.ndarray:
+    """The group, below the tail's leaf, of tokens by hash."""
+    out = np.zeros(len(h), np.int64)
+    for i in range(TAIL):
+        out = out * WAYS + ((h >> np.uint64(8 * i)) & np.uint64(WAYS - 1)).astype(np.int64)
+    return out
+
+
+def contexts(ids: np.ndarray, h: np.ndarray, first: np.ndarray, common: int) -> list[np.ndarray]:
+    """Hashes of the last word, the last common one before it, and both. ids, h: numbers and hashes of the tokens
+    of whole texts one after another; first: where the text of each token starts; common: tokens that count as common."""
+    u, place = np.uint64, np.arange(len(h))
+    padded = np.concatenate((np.zeros(2, u), h))
+    one = np.where(place > first, padded[1:-1], u(0))
+    last = np.maximum.accumulate(np.where(ids < common, place, -1))
+    last = np.concatenate((np.full(2, -1), last[:-2]))[: len(h)]
+    two = np.where(last >= first, h[np.maximum(last, 0)], u(0))
+    return [one * u(0x9E3779B97F4A7C15), two * u(0xC2B2AE3D27D4EB4F) + u(1), one * u(0x165667B19E3779F9) ^ two * u(0xD6E8FEB86659FD93)]
+
+
+def rows_of(context: list[np.ndarray], owner: np.ndarray, node: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The hashed features' rows at each step."""
+    place = node.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+    return [(((c[owner] ^ place) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - bits)).astype(np.int32) for c in context]
+
+
+_ONES = np.ones(WAYS, np.float32)
+
+
+def masses(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each step: the classes' sums of bias and weights, exponentiated, and their sum. Biases are at most zero and
+    weights small, so nothing overflows."""
+    z = bias.take(node, axis=0)
+    for f in at:
+        z += weights.take(f, axis=0)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z, z @ _ONES
+
 
+def log_p(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.ndarray], way: np.ndarray) -> np.ndarray:
+    """The log probability of each step's way."""
+    z, total = masses(bias, weights, node, at)
+    return np.log(z[np.arange(len(way)), way] / total)
 
-def step(weights: np.ndarray, square: np.ndarray, seen: np.ndarray, at: list[np.ndarray], y: np.ndarray) -> None:
+
+def step(bias: np.ndarray, weights: np.ndarray, square: np.ndarray, seen: np.ndarray, node: np.ndarray, at: list[np.ndarray], way: np.ndarray) -> None:
     """One AdaGrad step on a mini-batch, in place."""
-    g = softmax(weights, at)
-    g[np.arange(len(y)), y] -= 1
-    for f in at:
-        order = np.argsort(f, kind="stable")
-        s = f[order]
-        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        row = s[starts]
-        sums = np.add.reduceat(g[order], starts, axis=0)
-        seen[row] += np.diff(np.concatenate((starts, [len(s)])))
-        square[row] += (sums * sums).mean(axis=1)
-        weights[row] -= RATE * sums / np.sqrt(square[row] + 1e-6)[:, None]
+    g, total = masses(bias, weights, node, at)
+    g /= total[:, None]
+    g[np.arange(len(way)), way] -= 1
+    size = np.einsum("ij,ij->i", g, g)
+    n = len(way)
+    key = np.sort(np.concatenate([f.astype(np.int64) << 32 | np.arange(k * n, k * n + n) for k, f in enumerate(at)]))
+    row, which = key >> 32, (key & 0xFFFFFFFF) % n
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    row = row[starts]
+    seen[row] += np.diff(starts, append=len(key))
+    square[row] += np.add.reduceat(size[which], starts)
+    weights[row] -= np.add.reduceat(g.take(which, axis=0), starts, axis=0) * (RATE / np.sqrt(square[row] + 1e-2))[:, None]
 
 
 def _rows(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
@@ -156,9 +263,9 @@ def count_tokens(rows: DataFrame) -> DataFrame:
                 part = items[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64())], ["token", "n"])
 
-        for _, texts in chunks(batches):
-            for words in texts:
-                found.update(words)
+        for _, texts, skips in chunks(batches):
+            for words, skip in zip(texts, skips.tolist(), strict=True):
+                found.update(words[skip:])
             if len(found) > FLUSH:
                 yield from flush()
         yield from flush()
@@ -166,91 +273,135 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return table(rows.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")), "tokens")
 
 
-def train_round(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """The class weights after a pass over rows of text."""
-    n_features, classes = weights.shape[0], weights.shape[1]
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+def _batch(slots: Slots, tree: Tree, texts: list[list[bytes]], skips: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """Of the tokens that aren't context: number, hash, text; and the owner, node, way and rows of all steps."""
+    ids = np.array([slots[x] for words in texts for x in words], np.int64)
+    h = slots.hashes()[ids]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(lengths) - lengths
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    use = np.arange(len(ids)) - first[doc] >= skips[doc]
+    context = [c[use] for c in contexts(ids, h, first[doc], min(COMMON, slots.head))]
+    ids, h, doc = ids[use], h[use], doc[use]
+    owner, node, way = tree.steps(ids, h)
+    return ids, h, doc, owner, node, way, rows_of(context, owner, node, bits)
+
+
+def train_pass(rows: DataFrame, head: list[bytes], tree: Tree, weights: np.ndarray) -> np.ndarray:
+    """The weights after a pass over rows (text, part, h)."""
+    n, bits = len(weights), len(weights).bit_length() - 1
+    size = min(SHARD, n)
+    shared = rows.sparkSession.sparkContext.broadcast((head, tree, weights))
+    names = ["shard", "part", "row", "change", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, square, seen, slots = shared.value.copy(), np.zeros(n_features, np.float32), np.zeros(n_features, np.float32), Slots()
-        for _, texts in chunks(batches):
-            ids = np.array([slots[x] for words in texts for x in words], np.int64)
-            h = slots.hashes()[ids]
-            slots.trim()
-            first = np.cumsum([0, *map(len, texts)])[:-1]
-            at, y = [*features(h, first, n_features)], (h & np.uint64(classes - 1)).astype(np.int64)
-            for i in range(0, len(h), BATCH):
-                step(w, square, seen, [f[i : i + BATCH] for f in at], y[i : i + BATCH])
-        if seen.any():
-            change, size = (w - shared.value) * seen[:, None], n_features // SHARDS
-            for s in range(SHARDS):
-                own = slice(s * size, (s + 1) * size)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([change[own].tobytes()], pa.binary()), pa.array([seen[own].tobytes()], pa.binary())], ["shard", "change", "seen"])
+        head, tree, start = shared.value
+        slots, part, state = Slots(head), None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            w, _, seen = state
+            for s in range(n // size):
+                row = np.flatnonzero(seen[s * size : (s + 1) * size])
+                if len(row):
+                    change = (w[s * size + row] - start[s * size + row]).astype(np.float16)
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (row.astype(np.int32), change, seen[s * size + row])]], names)
+
+        for rows, texts, skips in chunks(batches):
+            parts = np.array([r[0] for r in rows])
+            for p in np.unique(parts).tolist():  # rows come in order of their parts
+                if p != part:
+                    if state is not None:
+                        yield from out()
+                    part, state = p, (start.copy(), np.zeros(n, np.float32), np.zeros(n, np.float32))
+                own = np.flatnonzero(parts == p)
+                _, _, _, owner, node, way, at = _batch(slots, tree, [texts[i] for i in own], skips[own], bits)
+                for i in range(0, len(way), BATCH):
+                    step(tree.bias, *state, node[i : i + BATCH], [f[i : i + BATCH] for f in at], way[i : i + BATCH])
+                slots.trim()
+        if state is not None:
+            yield from out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
+        now, sums, seen = None, np.zeros(0), np.zeros(0)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(sums / np.maximum(seen, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())], ["shard", "change"])
+
         for batch in batches:
-            for s, change, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                old = sums.setdefault(s, [np.zeros((n_features // SHARDS, classes), np.float32), np.zeros(n_features // SHARDS, np.float32)])
-                old[0] += np.frombuffer(change, np.float32).reshape(-1, classes)
-                old[1] += np.frombuffer(seen, np.float32)
-        for s, (change, seen) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([(change / np.maximum(seen, 1)[:, None]).tobytes()], pa.binary())], ["shard", "change"])
-
-    moved = rows.select("text").mapInArrow(run, "shard int, change binary, seen binary").repartition(SHARDS, "shard").mapInArrow(merge, "shard int, change binary")
-    out, size = weights.copy(), n_features // SHARDS
+            for i in range(batch.num_rows):
+                s, _, row, change, count = (c[i].as_py() for c in batch.columns)
+                if s != now:
+                    if now is not None:
+                        yield out()
+                    now, sums, seen = s, np.zeros((size, WAYS)), np.zeros(size)
+                row, count = np.frombuffer(row, np.int32), np.frombuffer(count, np.float32).astype(float)
+                sums[row] += np.frombuffer(change, np.float16).reshape(-1, WAYS).astype(float) * count[:, None]
+                seen[row] += count
+        if now is not None:
+            yield out()
+
+    moved = rows.select("text", "part").mapInArrow(run, "shard int, part long, row binary, change binary, seen binary")
+    moved = moved.repartition(max(1, n // size), "shard").sortWithinPartitions("shard", "part").mapInArrow(merge, "shard int, change binary")
+    out = weights.copy()
     for s, change in moved.collect():  # as many bytes as the weights
-        out[s * size : (s + 1) * size] += np.frombuffer(change, np.float32).reshape(-1, classes)
+        out[s * size : (s + 1) * size] += np.frombuffer(change, np.float32).reshape(-1, WAYS)
+    shared.unpersist()
     return out
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, buckets: int = FEATURES, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES, rounds: int = ROUNDS, head: int = HEAD, bits: int | None = None) -> DataFrame:
     """A row for each of docs: id, n_tokens, n_known, train_tokens, base_score, score. train:
-    condition on docs; the model learns from rows where it is true. classes, buckets: powers
-    of two."""
+    condition on docs; the model learns from rows where it is true. bits: hashed features, as a power of two;
+    None: by the number of training tokens."""
     spark = docs.sparkSession
     ship(spark)
     rows = _rows(docs, train, id_col, text_col)
     counts = count_tokens(rows.where("train"))
-    of_class = F.xxhash64("token").bitwiseAND(F.lit(classes - 1))
-    sums = {r[0]: (r[1], r[2]) for r in counts.groupBy(of_class).agg(F.sum("c"), F.count("*")).collect()}
-    n, v = sum(x[0] for x in sums.values()), sum(x[1] for x in sums.values())
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     base_of = n + 0.5 * (v + 1)
-    class_of = [sums.get(k, (0, 0))[0] + 0.5 * (sums.get(k, (0, 0))[1] + 1) for k in range(classes)]
-    top = counts.orderBy(F.desc("c"), "token").limit(head).toArrow()  # `head` rows
-    least = (top.column("c")[-1].as_py(), top.column("token")[-1].as_py()) if top.num_rows else (0, b"")
-    known = spark.sparkContext.broadcast((top.column("token").to_pylist(), top.column("c").to_numpy()))
-    weights = np.zeros((buckets, classes), np.float32)
-    for k in range(rounds):
-        weights = train_round(rows.where("train").where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == k), weights)
-    model = spark.sparkContext.broadcast(weights)
+    # The most frequent tokens, and no more bytes of them than a few MB: longer ones are in the tail.
+    top = counts.where(F.octet_length("token") <= 256).orderBy(F.desc("c"), "token").limit(head).toArrow()  # `head` rows
+    names, c = top.column("token").to_pylist(), top.column("c").to_numpy()
+    least = (int(c[-1]), names[-1]) if names else (2**62, b"")
+    in_head = (F.octet_length("token") <= 256) & ((F.col("c") > least[0]) | ((F.col("c") == least[0]) & (F.col("token") <= F.lit(least[1]))))
+    rest = counts.where(~in_head)
+    h = F.xxhash64("token")  # seed 42, as in Slots
+    group = F.lit(0)
+    for i in range(TAIL):
+        group = group * WAYS + F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(WAYS - 1))
+    sums = {r[0]: (r[1], r[2]) for r in rest.groupBy(group.alias("g")).agg(F.sum("c"), F.count("*")).collect()}  # WAYS**TAIL rows
+    group_of_ = [sums.get(k, (0, 0))[0] + 0.5 * (sums.get(k, (0, 0))[1] + 1) for k in range(WAYS**TAIL)]
+    tree = Tree(c, n - float(c.sum()))
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, (n // PER_FEATURE).bit_length()))
+    weights = np.zeros((2**bits, WAYS), np.float32)
+    if n:
+        parts, h = max(8, -(-n // (PART * rounds))), F.xxhash64("doc_id", "text")
+        dealt = rows.where("train").select("text", F.pmod(F.xxhash64(F.lit("part"), h), F.lit(parts)).alias("part"), h.alias("h"))
+        for k in range(passes * rounds):
+            own = dealt.where(F.pmod(F.xxhash64(F.lit("round"), "h"), F.lit(rounds)) == k % rounds)
+            weights = train_pass(own.repartition(parts, "part").sortWithinPartitions("part", "h"), names, tree, weights)
+    model = spark.sparkContext.broadcast((names, c, tree, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, w = Slots(known.value[0]), model.value
-        c = known.value[1] + 0.5
-        own = np.array(class_of)[(slots.hashes() & np.uint64(classes - 1)).astype(np.int64)]
-        base, inner = np.log10(c / base_of), np.log10(c / own) if len(c) else c
+        head, c, tree, w = model.value
+        slots, base = Slots(head), np.log10((c + 0.5) / base_of) if len(c) else np.zeros(1)
         names = ["rid", "doc_id", "token", "tf", "n_known", "base", "score"]
-        for info, texts in chunks(batches):
-            ids = np.array([slots[x] for words in texts for x in words], np.int64)
-            h = slots.hashes()[ids]
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            first, doc = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(texts)), lengths)
-            at, y = features(h, first, buckets), (h & np.uint64(classes - 1)).astype(np.int64)
-            got = np.empty(len(h))
-            for i in range(0, len(h), BATCH):
-                part = log_softmax(w, [f[i : i + BATCH] for f in at])
-                got[i : i + BATCH] = part[np.arange(len(part)), y[i : i + BATCH]]
-            got /= np.log(10)
+        for info, texts, skips in chunks(batches):
+            ids, _, doc, owner, node, way, at = _batch(slots, tree, texts, skips, bits)
+            got = np.empty(len(way))
+            for i in range(0, len(way), BATCH):
+                got[i : i + BATCH] = log_p(tree.bias, w, node[i : i + BATCH], [f[i : i + BATCH] for f in at], way[i : i + BATCH])
+            sums = np.bincount(owner, got, len(ids)) + tree.rest[np.minimum(ids, slots.head)]
+            scores = np.bincount(doc, sums / np.log(10), len(texts))
             near = ids < slots.head
-            sums = [np.bincount(doc[near], x[ids[near]], len(texts)).astype(np.float64) for x in (base, inner)]
-            scores = sums[1] + np.bincount(doc, got, len(texts))
-            known_n = np.bincount(doc[near], minlength=len(texts))
-            none = pa.nulls(len(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in info], pa.int64()), pa.array([r[1] for r in info], pa.int64()), none, pa.array(lengths), pa.array(known_n), pa.array(sums[0]), pa.array(scores)], names)
+            known = np.bincount(doc[near], minlength=len(texts))
+            n_tokens, base_sum = np.bincount(doc, minlength=len(texts)), np.bincount(doc[near], base[ids[near]], len(texts))
+            none, rid = pa.nulls(len(texts), pa.binary()), np.array([r[0] for r in info], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array([r[1] for r in info], pa.int64()), none, pa.array(n_tokens), pa.array(known), pa.array(base_sum.astype(np.float64)), pa.array(scores)], names)
             pairs, tf = np.unique(doc[~near] * (len(slots.names) + 1) + ids[~near], return_counts=True)
             at_doc, at_id = np.divmod(pairs, len(slots.names) + 1)
-            m, rid = len(pairs), np.array([r[0] for r in info], np.int64)
+            m = len(pairs)
             zero = np.zeros(m)
             yield pa.RecordBatch.from_arrays([pa.array(rid[at_doc]), pa.nulls(m, pa.int64()), pa.array([slots.names[i] for i in at_id.tolist()], pa.binary()), pa.array(tf.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names)
             slots.trim()
@@ -258,10 +409,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     numbered = rows.select("text", F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"))
     seen = table(numbered.mapInArrow(run, "rid long, doc_id long, token binary, tf long, n_known long, base double, score double"), "scores")
     # Tokens beyond the head: their counts come by shuffle; those in no training text count 0.
-    rest = counts.where((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("token") > F.lit(least[1]))))
     tail = seen.where("token is not null").select("rid", "token", "tf").join(rest, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    inner_of = F.element_at(F.array(*[F.lit(float(x)) for x in class_of]), (of_class + 1).cast("int"))
-    tail = tail.groupBy("rid").agg(F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / F.lit(float(base_of)))).alias("t_base"), F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / inner_of)).alias("t_score"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("t_known"))
-    out = seen.where("token is null").join(tail, "rid", "left")
-    add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias
-    return out.select(F.col("doc_id").alias(id_col), F.col("tf").alias("n_tokens"), add("n_known", "t_known")("n_known"), F.lit(n).cast("long").alias("train_tokens"), add("base", "t_base")("base_score"), add("score", "t_score")("score"))
+    inner_of = F.element_at(F.array(*[F.lit(float(x)) for x in group_of_]), (group + 1).cast("int"))
+    tail = tail.select("rid", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tf"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.log10((F.col("c") + 0.5) / F.lit(float(base_of)))).alias("base"), (F.col("tf") * F.log10((F.col("c") + 0.5) / inner_of)).alias("score"))
+    out = seen.where("token is null").drop("token").unionByName(tail).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("tf").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return out.select(F.col("doc_id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
