@@ -211,9 +211,6 @@ def rows_of(context: list[np.ndarray], owner: np.ndarray, node: np.ndarray, bits
     return [(((c[owner] ^ place) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - bits)).astype(np.int32) for c in context]
 
 
-_ONES = np.ones(WAYS, np.float32)
-
-
 def masses(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of each step: the classes' sums of bias and weights, exponentiated, and their sum. Biases are at most zero and
     weights small, so nothing overflows."""
@@ -221,7 +218,7 @@ def masses(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.
     for f in at:
         z += weights.take(f, axis=0)
     np.exp(z, out=z)
-    return z, z @ _ONES
+    return z, z.sum(axis=1)  # a matrix product's rounding would depend on the batch
 
 
 def log_p(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.ndarray], way: np.ndarray) -> np.ndarray:
