@@ -11,13 +11,13 @@ from .common import drop, table
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.col("v") % 1_000_000_007)).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit("v"), "u", "v"))).first())
 
 
 def components(edges: DataFrame, name: str = "star") -> DataFrame:
     """edges: a, b (64-bit ids). Returns id, component_id for every id that has an edge;
-    component_id is the smallest id reachable. No edge gives no rows."""
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    component_id is the smallest id reachable. No edge gives no rows, nor does one with a null end."""
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()  # greatest() and least() pass over nulls, so an edge to null is one to itself
     now = table(now, name)
     mark = _mark(now)
     while mark[0]:

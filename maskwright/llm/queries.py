@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of all documents; those labelled toxic are taken back by a second batch."""
+    """Counts of all documents. Further batches delete those labelled toxic, insert them with estimates and revise these."""
     return tokens.token_counts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").where("toxic = 1"))
 
 
