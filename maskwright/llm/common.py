@@ -17,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: what they hold) and its strings and arrays at most that many bytes. Larger sides are joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 ROW = "__row"
+#: Text that a Python worker gets at a time, in bytes and rows.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,8 +96,13 @@ def crc_mod(id_col: str, by: int) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package: executors fetch it as a zip file, once."""
+    """Lets Python workers import this package: executors fetch it as a zip file, once. Arrow
+    batches are held to BATCH_BYTES, since rows with long texts would make them as large as they come."""
     context = spark.sparkContext
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}", str(2**31 - 1)))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     if getattr(context, "_maskwright", False):
         return
     package = Path(__file__).resolve().parent.parent
