@@ -15,7 +15,7 @@ from .functions import brackets, dates, eponyms
 from .functions import patterns as P
 from .functions.spans import find_spans, matches
 from .operators import baselines, detect, labels, mask, metrics, mock_llm, resolve
-from .plans import gateway
+from .plans import evaluate, gateway
 from .plans.deidentify import deidentify
 from .sources import notes as src
 
@@ -466,3 +466,35 @@ def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, len(m)::INT AS n_urls FROM (SELECT page_id, regexp_extract_all(html, " + _quote(P.URL.re2) + ") AS m FROM pages)")
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", F.size(matches(F.coalesce("html", F.lit("")), P.URL.java)).alias("n_urls"))
+
+
+#: One text for each detector: text, category, what is found.
+VECTORS = [
+    ("SSN: 123-45-6789", "SSN", "123-45-6789"), ("MRN: 884-9102-X.", "MRN", "884-9102-X"), ("Phone: 617-555-0144 ext 12", "PHONE", "617-555-0144 ext 12"), ("Fax: 617-555-0199", "FAX", "617-555-0199"),
+    ("mail jane.doe@x-y.org now", "EMAIL", "jane.doe@x-y.org"), ("from 192.168.10.255", "IP", "192.168.10.255"), ("at 2001:db8:0:0:0:0:0:1 now", "IP", "2001:db8:0:0:0:0:0:1"), ("see https://a.b/c?d=1 x", "URL", "https://a.b/c?d=1"),
+    ("MBI 1EG4-TE5-MK73", "HEALTHPLAN", "1EG4-TE5-MK73"), ("Policy # ABC12345", "HEALTHPLAN", "ABC12345"), ("HAR: 12345678", "ACCOUNT", "12345678"), ("NPI: 1982736450", "NPI", "1982736450"), ("DEA: AB1234567", "LICENSE", "AB1234567"),
+    ("State License: MD-99812", "LICENSE", "MD-99812"), ("VIN: 1HGCM82633A004352", "VEHICLE", "1HGCM82633A004352"), ("Serial Number: PM-88231", "DEVICE", "PM-88231"), ("Fingerprint ID: FP-2231", "BIOMETRIC", "FP-2231"),
+    ("Image: scan_face.jpg", "PHOTO", "scan_face.jpg"), ("Specimen ID: S23-1182", "ACCESSION", "S23-1182"), ("lives at 12 Oak Street", "ADDRESS", "12 Oak Street"), ("zip 02115-1234", "ZIP", "02115-1234"), ("in Cook County", "COUNTY", "Cook County"),
+    ("near Springfield", "CITY", "Springfield"), ("at Mercy General Hospital", "HOSPITAL", "Mercy General Hospital"), ("on 10/14/2023", "DATE", "10/14/2023"), ("a 94-year-old man", "AGE", "94-year-old"), ("PATIENT: Ann Lee | x", "PATIENT", "Ann Lee"),
+    ("Mrs. Lee has pain", "PATIENT", "Lee"), ("ATTENDING: James Fox (x)", "PROVIDER", "James Fox"), ("Dr. Fox, MD", "PROVIDER", "Dr. Fox, MD"), ("Mother: Eva Lee.", "FAMILY", "Eva Lee"), ("her son Tom Lee", "FAMILY", "Tom Lee"),
+]
+
+
+@query(f"""WITH v(k, note, category, found) AS (VALUES {", ".join(f"({i}, {_quote(t)}, '{c}', {_quote(x)})" for i, (t, c, x) in enumerate(VECTORS))})
+SELECT c_custkey, category, found AS text, (strpos(note, found) - 1)::INT AS "start", (strpos(note, found) - 1 + length(found))::INT AS "end" FROM customer JOIN v ON c_custkey % {len(VECTORS)} = k""")
+def detector_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each customer, one of each detector in turn: the longest span of its category."""
+    known = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(VECTORS)], "k long, note string, category string")
+    df = _read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(VECTORS)).alias("k")).join(F.broadcast(known), "k")  # as many rows as VECTORS
+    own = detect.detect(df, "note").select("c_custkey", F.filter("spans", lambda s: s["category"] == F.col("category")).alias("own"))
+    best = F.array_max(F.transform("own", lambda s: F.struct((s["end"] - s["start"]).alias("n"), s["category"].alias("category"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"))))
+    return own.select("c_custkey", best.alias("b")).select("c_custkey", "b.category", "b.text", "b.start", "b.end")
+
+
+@query()
+def evaluate_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three engines' scores over the notes, against the identifiers their template puts in."""
+    n, parts = notes(spark, sf_dir), [("name", "PATIENT"), ("dob", "DATE"), ("mrn", "MRN"), ("phone", "PHONE"), ("visit", "DATE")]
+    at = lambda c: (F.instr(F.col("text"), F.col(c)) - 1).cast("int")
+    gold = F.array(*[F.struct(at(c).alias("start"), (at(c) + F.length(c)).cast("int").alias("end"), F.lit(k).alias("category"), F.col(c).alias("text")) for c, k in parts])
+    return evaluate.summary(evaluate.runs(n.withColumn("gold", gold), "note_id", "text", "gold", "patient_id"))

@@ -34,7 +34,7 @@ def decode(tokens: Column) -> Column:
     label closes. Tokens without text are passed over."""
 
     def step(acc: Column, t: Column) -> Column:
-        category = F.substring(t["label"], 3, 100)
+        category = F.substring(t["label"], F.lit(3), F.length(t["label"]))
         fresh = F.struct(t["start"].alias("start"), t["end"].alias("end"), category.alias("category"), t["confidence"].cast("double").alias("confidence"))
         last = acc["open"]
         done = F.when(last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))

@@ -78,7 +78,7 @@ def comparison(metrics: DataFrame, engine: str = "engine", names: tuple[str, ...
 
 
 def markdown(table: DataFrame) -> str:
-    """A small table, such as comparison()'s nine rows, in Markdown."""
-    rows = table.limit(1000).collect()
+    """A table small enough to read, such as comparison()'s nine rows, in Markdown; rows come one by one."""
+    rows = table.toLocalIterator()
     head = ["| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
     return "\n".join([*head, *["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]])
