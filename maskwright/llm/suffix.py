@@ -319,7 +319,7 @@ def repeated_ranges(texts: DataFrame, marked: DataFrame, splitters: np.ndarray,
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = [], 0
-        ahead, back = np.arange(length), np.arange(1, most + 1)
+        ahead, back = np.arange(length, dtype=np.int32), np.arange(1, most + 1, dtype=np.int32)
         for batch in batches:
             for i in range(batch.num_rows):
                 at = batch.column(2)[i].values
@@ -328,12 +328,17 @@ def repeated_ranges(texts: DataFrame, marked: DataFrame, splitters: np.ndarray,
                 at = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in at]).astype(np.int64))
                 text = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
                 at = at[at < len(text)]
-                padded = np.concatenate((np.zeros(most, np.uint8), text, np.zeros(length, np.uint8)))
-                found.append((np.full(len(at), batch.column(0)[i].as_py()), at, np.minimum(length, len(text) - at), np.minimum(most, at), padded[at[:, None] + most + ahead], padded[at[:, None] + most - back]))
-                n += len(at)
-                if n >= RUN:
-                    yield from run_of(found)
-                    found, n = [], 0
+                doc = batch.column(0)[i].as_py()
+                for k in range(0, len(at), RUN):  # a text with many anchors comes in several runs
+                    own = at[k : k + RUN]
+                    lo, hi = max(0, int(own[0]) - most), min(len(text), int(own[-1]) + length)
+                    padded = np.concatenate((np.zeros(most, np.uint8), text[lo:hi], np.zeros(length, np.uint8)))
+                    place = own[:, None] - lo
+                    found.append((np.full(len(own), doc), own, np.minimum(length, len(text) - own), np.minimum(most, own), padded[place + most + ahead], padded[place + most - back]))
+                    n += len(own)
+                    if n >= RUN:
+                        yield from run_of(found)
+                        found, n = [], 0
         if n:
             yield from run_of(found)
 
