@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: What `passing` has yet to delete, innermost last.
+_PASSING: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/maskwright/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/maskwright/{name}-{uuid.uuid4().hex}"
+    if _PASSING:
+        _PASSING[-1].append(path)
+    return path
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes the paths and tables made within when it ends. Results that read them must be written elsewhere by then."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            delete(spark, path)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
