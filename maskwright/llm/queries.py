@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, langid, licenses, lm, mixing, simhash, suffix, tokens
+from . import chat, decontam, exact, langid, licenses, lm, mixing, negatives, simhash, suffix, tokens
 from .common import crc_mod
 
 
@@ -72,7 +72,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score, op11_hard_negatives)}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -128,4 +133,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
   sum({len(chat.TURN + chat.TEXT + chat.END)} + length({_escaped_sql("role")}) + length({_escaped_sql("t")}))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""
 
-ORACLES = {"op2_decontaminate": _OP2, "op5_exact_dedup": _OP5, "op7_license_scan": _OP7, "op8_chat_format": _OP8}
+_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+ORACLES = {"op11_hard_negatives": _OP11, "op2_decontaminate": _OP2, "op5_exact_dedup": _OP5, "op7_license_scan": _OP7, "op8_chat_format": _OP8}
