@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, langid, licenses, lm, mixing, negatives, simhash, suffix, tokens
+from . import chat, decontam, exact, langid, licenses, lm, mixing, negatives, setsketch, simhash, suffix, tokens
 from .common import crc_mod
 
 
@@ -77,7 +77,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score, op11_hard_negatives)}
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_groups(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score, op11_hard_negatives, op13_setsketch)}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -142,4 +146,15 @@ SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
-ORACLES = {"op11_hard_negatives": _OP11, "op2_decontaminate": _OP2, "op5_exact_dedup": _OP5, "op7_license_scan": _OP7, "op8_chat_format": _OP8}
+_OP13 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+r AS (SELECT doc_id, g FROM s QUALIFY count(*) OVER (PARTITION BY g) > 1),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM r x JOIN r y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 85 * (p.n + q.n - o)),
+c AS (SELECT doc_id AS id, doc_id AS near FROM documents UNION SELECT c.id, l.b FROM c JOIN l ON l.a = c.near)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(near) AS component_id FROM c GROUP BY id) AS m USING (doc_id)"""
+
+ORACLES = {"op11_hard_negatives": _OP11, "op13_setsketch": _OP13, "op2_decontaminate": _OP2, "op5_exact_dedup": _OP5, "op7_license_scan": _OP7, "op8_chat_format": _OP8}
