@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, langid, licenses, lm, mixing, negatives, setsketch, simhash, suffix, tokens
+from . import chat, decontam, exact, langid, licenses, lm, mixing, negatives, phrases, setsketch, simhash, suffix, tokens
 from .common import crc_mod
 
 
@@ -77,11 +77,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
 def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score, op11_hard_negatives, op13_setsketch)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score, op11_hard_negatives, op12_collocations, op13_setsketch)}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -146,6 +150,21 @@ SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
+_OP12 = r"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM p)),
+at AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+f AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, count(*) AS a FROM at, range(1, 6) AS r(m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM at GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT lang, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+cut AS (SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * k.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(list_slice(k.w, 1, k.k), ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(list_slice(k.w, k.k + 1, len(k.w)), ' ') JOIN n ON n.lang = k.lang),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+part AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(list_slice(w, i, i + s - 1), ' ') AS phrase FROM (SELECT lang, a, w, m, s, unnest(range(1, m - s + 2)) AS i FROM c, range(2, 5) AS q(s) WHERE s < m)) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN part USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY row_number() OVER w <= 2000"""
+
 _OP13 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -157,4 +176,4 @@ c AS (SELECT doc_id AS id, doc_id AS near FROM documents UNION SELECT c.id, l.b
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(near) AS component_id FROM c GROUP BY id) AS m USING (doc_id)"""
 
-ORACLES = {"op11_hard_negatives": _OP11, "op13_setsketch": _OP13, "op2_decontaminate": _OP2, "op5_exact_dedup": _OP5, "op7_license_scan": _OP7, "op8_chat_format": _OP8}
+ORACLES = {"op11_hard_negatives": _OP11, "op12_collocations": _OP12, "op13_setsketch": _OP13, "op2_decontaminate": _OP2, "op5_exact_dedup": _OP5, "op7_license_scan": _OP7, "op8_chat_format": _OP8}
