@@ -12,9 +12,13 @@ met are estimated jointly: from how many registers are larger, smaller and equal
 likelihood of every similarity; a pair goes when the best one below the threshold is e^25 times as likely as the threshold, which happens to a pair at or above it with
 a probability of about 1e-11. What is left is settled on the full sets.
 
-So that a large group of near copies costs no pair for each two of its members, a node is first compared with the smallest node of
-its bands, that of the most bands first; the others of these only if the ends are still apart; and, at bands where several
-components are left, nodes of different components are, unless 64 of their registers' last bits rule them out. Components over
+So that a large group of near copies costs no pair for each two of its members, a node is first compared with the heads of
+its bands, a band's head being the node that meets others oftenest in all its bands: of copies of one text, the one nearest to the others. Where
+the likelihood leaves such a pair, both are of one neighbourhood. Nodes that meet in a band and are of different neighbourhoods are estimated too, unless their
+registers' last bits rule them out, and neighbourhoods joined where the likelihood leaves a pair. So every link lies within a neighbourhood. Each node's pair with the
+head it shares most bands with is settled on the sets; what is left are, within a neighbourhood, the pairs of nodes that this hasn't joined. They are settled
+block by block: two blocks of nodes and their sets make one unit of work, which gives back a link for two components at most. A
+neighbourhood whose nodes are just below the threshold to each other so costs units in the square of its size, but no rows. Components over
 the links so found equal those over all links.
 
 Defined results: A-Z are lowered; words stand between blanks (0x20, 0x09-0x0D); texts of fewer words than a shingle are one shingle of all; a text
@@ -41,12 +45,15 @@ SIZE, LEAST, OUT_OF = 3, 85, 100
 REGISTERS, ROWS, BANDS = 256, 6, 42
 #: The scale's base, and the rate that keeps the largest minima above zero.
 BASE, RATE = 1.001, 20.0
-#: Logarithm of the likelihoods' ratio from which a pair goes; last bits of 64 registers that may differ (4.8 expected at 0.85).
-DOUBT, BITS = 25.0, 24
+#: Logarithm of the likelihoods' ratio from which a pair goes; last bits of the registers that may differ (19 expected at 0.85, over 46 with a probability of about 1e-8).
+DOUBT, BITS = 25.0, 46
+LAST = ["b0", "b1", "b2", "b3"]
 #: Shingles whose variates are made at a time.
 CHUNK = 500_000
+#: Nodes and shingles of a block of a unit of work; distinct shingles that a unit counts at a time.
+BLOCK, SHINGLES, COLUMNS = 256, 500_000, 8192
 
-_SKETCH = "doc_id long, n long, d1 long, d2 long, bits long, registers binary"
+_SKETCH = "doc_id long, n long, d1 long, d2 long, b0 long, b1 long, b2 long, b3 long, registers binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,17 +117,17 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, l
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, n, d1, d2, bits, registers of each of docs, as a table: the size of its set, 128 bits of it, its sketch and the last
-    bits of 64 of its registers."""
+    """doc_id, n, d1, d2, b0 to b3, registers of each of docs, as a table: the size of its set, 128 bits of it, the last
+    bits of its registers and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
             k = truncated(minima(np.concatenate(sets), of, len(sets)))
             marks = np.array([digest(x) for x in sets], np.int64).reshape(-1, 2)
-            bits = np.packbits((k[:, -64:] & 1).astype(np.uint8), axis=1).view("<i8")[:, 0]
-            found = [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(bits), pa.array([x.tobytes() for x in k], pa.binary())]
-            return pa.RecordBatch.from_arrays(found, ["doc_id", "n", "d1", "d2", "bits", "registers"])
+            bits = np.packbits((k & 1).astype(np.uint8), axis=1).view("<i8")
+            found = [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)), pa.array([x.tobytes() for x in k], pa.binary())]
+            return pa.RecordBatch.from_arrays(found, ["doc_id", "n", "d1", "d2", *LAST, "registers"])
 
         ids, sets, held = [], [], 0
         for batch in batches:
@@ -162,7 +169,8 @@ class _Confirm:
     def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, least: int, out_of: int) -> None:
         self.docs, self.nodes, self.size, self.least, self.out_of = docs, nodes, size, least, out_of
 
-    def _likely(self, pairs: DataFrame) -> DataFrame:
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Of the written pairs (a, b), those that may be similar by size and likelihood, as a table."""
         least = self.least / self.out_of
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +180,11 @@ class _Confirm:
                 yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(a, b, n, m, least)))
 
         side = self.nodes.select("node", "n", "registers")
-        both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").where(_sizes("n", "m", self.least, self.out_of))
+        both = pairs.select("a", "b").join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").where(_sizes("n", "m", self.least, self.out_of))
         return table(both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long"), "likely")
 
-    def _sets(self, asked: DataFrame) -> DataFrame:
-        """node, s of the nodes asked for: their texts are found by id, and told from others of the id by the set's digest."""
+    def sets(self, asked: DataFrame) -> DataFrame:
+        """node, s of the nodes asked for, as a table: their texts are found by id, and told from others of the id by the set's digest."""
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,46 +202,125 @@ class _Confirm:
         drop(ids)
         return out
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Of the written pairs (a, b), those that are similar, as a table."""
-        likely = self._likely(pairs)
-        asked = table(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "asked")
-        sets = self._sets(asked)
-        both = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("o", F.size(F.array_intersect("x", "y")))
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Of the written pairs (a, b), those whose sets are similar, as a table."""
+        asked = table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
+        sets = self.sets(asked)
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("o", F.size(F.array_intersect("x", "y")))
         out = table(both.where(self.out_of * F.col("o") >= self.least * (F.size("x") + F.size("y") - F.col("o"))).select("a", "b"), "links")
-        for x in (likely, asked, sets):
-            drop(x)
+        drop(asked)
+        drop(sets)
         return out
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """[i, j]: how many hashes left[i] and right[j] share."""
+    both = np.concatenate([*left, *right])
+    _, at, n = np.unique(both, return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    shared = n[at] > 1
+    at, of = np.unique(at[shared], return_inverse=True)[1], of[shared]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, int(at.max(initial=-1)) + 1, COLUMNS):
+        here = (at >= low) & (at < low + COLUMNS)
+        held = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        held[of[here], at[here] - low] = 1
+        out += (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _settle(least: int, out_of: int):
+    """Links a, b between nodes of different components, one for two components, of the units (unit, side, part, node, s) of a task, which come by unit."""
+
+    def unit(rows: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        left, right = ([r for r in rows if r[0] == side] for side in (0, 1))
+        right = right or left  # a block with itself comes once
+        n, m = (np.array([len(r[3]) for r in x], np.int64) for x in (left, right))
+        p, q = (np.array([r[1] for r in x], np.int64) for x in (left, right))
+        o = _overlaps([r[3] for r in left], [r[3] for r in right])
+        near = (out_of * o >= least * (n[:, None] + m - o)) & (p[:, None] != q)
+        joined = set()
+        for i, j in zip(*np.nonzero(near), strict=True):
+            ends = tuple(sorted((int(p[i]), int(q[j]))))
+            if ends not in joined:
+                joined.add(ends)
+                yield left[i][2], right[j][2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            found = list(unit(rows))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for key, side, part, node, s in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if key != now:
+                    if rows:
+                        yield close()
+                    now, rows = key, []
+                rows.append((side, part, node, s.values.to_numpy()))
+        if rows:
+            yield close()
+
+    return run
+
+
+def _blocks(of: DataFrame) -> DataFrame:
+    """group, block, whole, node, part of nodes (group, part, node, n): blocks of some BLOCK nodes and SHINGLES shingles. Large components
+    have blocks of their own (whole: that component), small ones share blocks."""
+    parts = of.groupBy("group", "part").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    parts = table(parts.withColumn("whole", F.when((F.col("c") >= BLOCK // 2) | (F.col("n") >= SHINGLES // 2), F.col("part"))), "parts")
+    pieces = parts.groupBy("group", "whole").agg(F.ceil(F.greatest(F.sum("c") / BLOCK, F.sum("n") / SHINGLES)).alias("pieces"))
+    pieces = table(pieces, "pieces")
+    placed = of.drop("n").join(parts.select("group", "part", "whole"), ["group", "part"])
+    placed = placed.join(pieces.toDF("__group", "__whole", "pieces"), (F.col("group") == F.col("__group")) & F.col("whole").eqNullSafe(F.col("__whole"))).drop("__group", "__whole")
+    piece = F.pmod(F.xxhash64(F.when(F.col("whole").isNull(), F.col("part")).otherwise(F.col("node"))), F.col("pieces"))
+    return table(placed.select("group", F.xxhash64("group", "whole", F.col("whole").isNull(), piece).alias("block"), "whole", "node", "part"), "blocks")
+
+
 def links(docs: DataFrame, nodes: DataFrame, size: int, least: int, out_of: int) -> DataFrame:
-    """a, b: links between the written nodes (node, doc_id, n, d1, d2, registers), enough of them to connect what all links connect."""
+    """a, b: links between the written nodes (node, doc_id, n, d1, d2, b0 to b3, registers), enough of them to connect what all links connect."""
     confirm = _Confirm(docs, nodes, size, least, out_of)
     every = table(bands(nodes), "bands")
-    heads = table(every.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head"), "heads")
-    met = table(every.join(heads, "key"), "met")
+    shared = table(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    some = table(every.join(shared, "key"), "some")
     drop(every)
+    weights = table(some.groupBy("node").agg(F.sum("c").alias("weight")), "weights")
+    heads = some.select("key", "node").join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("head"))
+    heads = table(heads, "heads")
+    met = table(some.select("key", "node").join(heads, "key"), "met")
     stars = table(met.where("head <> node").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).count(), "stars")
-    near = table(stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "near")
-    found = confirm(near)
-
-    def parted(of: DataFrame, end: str) -> DataFrame:
-        return of.select(F.col("id").alias(end), F.col("component_id").alias(f"{end}_part"))
-
-    of = table(components(found), "part")
-    rest = stars.select("a", "b").join(near, ["a", "b"], "left_anti").join(parted(of, "a"), "a", "left").join(parted(of, "b"), "b", "left")
-    rest = table(rest.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b"), "rest")
-    found = table(found.union(confirm(rest)), "found")
-    of = table(components(found), "part")
-    left = met.join(of, met["node"] == of["id"], "left").select("key", "node", F.coalesce("component_id", "node").alias("part"))
+    near = confirm.likely(stars)
+    around = table(components(near), "around")
+
+    # Neighbourhoods that a band brings together though not by its head.
+    left = met.join(around, met["node"] == around["id"], "left").select("key", "node", F.coalesce("component_id", "node").alias("around"))
     left = table(left, "left")
-    open_keys = table(left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key"), "open")
-    asked = table(left.join(open_keys, "key").join(nodes.select("node", "n", "bits"), "node"), "asked")
+    open_keys = table(left.groupBy("key").agg(F.min("around").alias("lo"), F.max("around").alias("hi")).where("lo <> hi").select("key"), "open")
+    asked = table(left.join(open_keys, "key").join(nodes.select("node", "n", *LAST), "node"), "asked")
     l, r = asked.alias("l"), asked.alias("r")
-    meet = F.expr(f"l.key = r.key and l.node < r.node and l.part <> r.part and bit_count(l.bits ^ r.bits) <= {BITS}") & _sizes("l.n", "r.n", least, out_of)
-    pairs = l.join(r, meet).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = confirm(table(pairs, "pairs"))
-    for x in (heads, met, stars, near, of, rest, left, open_keys, asked):
+    apart = " + ".join(f"bit_count(l.{b} ^ r.{b})" for b in LAST)
+    meet = F.expr(f"l.key = r.key and l.around < r.around and {apart} <= {BITS}") & _sizes("l.n", "r.n", least, out_of)
+    pairs = table(l.join(r, meet).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "pairs")
+    bridges = confirm.likely(pairs)
+    around = table(components(near.union(bridges)), "around")
+
+    nearest = table(stars.join(near, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "nearest")
+    found = confirm.similar(nearest)
+    part = table(components(found), "part")
+    of = around.join(part.toDF("node", "part"), around["id"] == F.col("node"), "left").select(F.col("component_id").alias("group"), F.coalesce("part", "id").alias("part"), F.col("id").alias("node"))
+    of = table(of.join(nodes.select("node", "n"), "node"), "members")
+    several = table(of.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("group"), "several")
+    blocks = _blocks(of.join(several, "group"))
+    sets = confirm.sets(blocks.select("node"))
+    one = blocks.select("group", "block", "whole").distinct()
+    units = one.join(one.toDF("group", "other", "other_whole"), "group").where("block <= other and (whole is null or other_whole is null or whole <> other_whole)")
+    units = table(units.select(F.monotonically_increasing_id().alias("unit"), "block", "other"), "units")
+    sides = units.select("unit", F.lit(0).alias("side"), "block").union(units.where("block <> other").select("unit", F.lit(1), "other"))
+    work = sides.join(blocks.select("block", "part", "node"), "block").join(sets, "node").select("unit", "side", "part", "node", "s")
+    more = table(work.repartition("unit").sortWithinPartitions("unit").mapInArrow(_settle(least, out_of), "a long, b long"), "more")
+    for x in (shared, some, weights, heads, met, stars, left, open_keys, asked, pairs, of, several, blocks, sets, units):
         drop(x)
     return found.union(more)
 
@@ -243,7 +330,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = sketches(rows, "doc_id", "text", size)
-    same = every.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("registers").alias("registers"))
+    same = every.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in LAST), F.first("registers").alias("registers"))
     nodes = table(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
     of = table(components(links(rows, nodes, size, least, out_of)), "components")
     named = nodes.select("node", "d1", "d2", "doc_id", "copies").join(of, nodes["node"] == of["id"], "left").withColumn("part", F.coalesce("component_id", "node"))

@@ -86,6 +86,23 @@ def test_groups_within_a_band_that_the_first_member_does_not_join(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [2, 5])
+def test_neighbourhoods_in_small_blocks(spark, monkeypatch, block):
+    """Copies of one text just above and below the threshold to each other, in many units of work."""
+    monkeypatch.setattr(setsketch, "BLOCK", block)
+    monkeypatch.setattr(setsketch, "COLUMNS", 16)
+    rng = random.Random(block)
+    base, rows = words(rng, 80).split(), []
+    for _ in range(40):
+        text = list(base)
+        for at in rng.sample(range(80), rng.choice([0, 1, 2, 3])):
+            text[at] = words(rng, 1)
+        rows.append((len(rows), " ".join(text)))
+    want = brute(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)) == want
+    assert 1 < sum(r[3] for r in want) < 35
+
+
 def test_hard_rows(hard, hard_rows, empty, spark):
     assert found(hard) == brute([r[:2] for r in hard_rows])
     assert found(empty) == []
