@@ -36,7 +36,7 @@ HOT = 2**18
 #: Bits of the bitmaps of frequent words and pairs.
 WORD_BITS, PAIR_BITS = 25, 26
 #: Text a task works on at a time, in bytes; suffixes it sorts at a time.
-CHUNK, SORTED = 16_000_000, 1_000_000
+CHUNK, SORTED = 32_000_000, 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: What ends a piece, and what ends a word.
