@@ -31,15 +31,14 @@ def interval_join(left: DataFrame, right: DataFrame, doc: str, width: int = BIN,
     """Rows of both that share a document and overlap: all columns of left, and those of right as struct `other`. Both have `doc`, start and end. Each row
     goes to the bins that it touches; a pair is taken in the first bin that both touch, so it comes once. how: inner, or left for
     all rows of left."""
-    key = F.monotonically_increasing_id()
-    l = left.withColumn("__key", key)  # noqa: E741
+    l = left.withColumn("__key", F.sha2(F.to_json(F.struct(*left.columns)), 256)) if how == "left" else left  # noqa: E741  rows alike overlap alike
     lb = l.where("start < end").withColumn("__bin", F.explode(_bins("start", "end", width)))
     rb = right.where("start < end").select(F.col(doc).alias("__doc"), F.struct(*[c for c in right.columns]).alias("other"), F.explode(_bins("start", "end", width)).alias("__other_bin"))
     first = F.expr(f"__bin = greatest(start div {width}, other.start div {width})")
     meet = F.col(doc).eqNullSafe(F.col("__doc")) & (F.col("__bin") == F.col("__other_bin")) & (F.col("start") < F.col("other.end")) & (F.col("other.start") < F.col("end")) & first
     found = lb.join(rb, meet).drop("__bin", "__other_bin", "__doc")
     if how == "inner":
-        return found.drop("__key")
+        return found
     none = l.join(found.select("__key"), "__key", "left_anti").withColumn("other", F.lit(None).cast(found.schema["other"].dataType))
     return found.unionByName(none).drop("__key")
 
