@@ -117,10 +117,11 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[
 
 
 class Tree:
-    """The tree of classes over tokens 0 to n - 1, in order of falling counts, and the tail as token n."""
+    """The tree of classes over tokens 0 to n - 1, in order of falling counts, and the tail as token n. Every token, and a group's unknown
+    ones together, count half a time more, as in the base: without features a token's probability is the base's, but for the number of groups."""
 
-    def __init__(self, counts: np.ndarray, tail: float) -> None:
-        mass = np.concatenate((counts.astype(float), [max(tail, 0.5)]))
+    def __init__(self, counts: np.ndarray, groups: list[float]) -> None:
+        mass = np.concatenate((counts + 0.5, [sum(groups)]))
         sums = np.concatenate(([0.0], np.cumsum(mass)))
         bias, todo = [], [(0, len(mass), 0)]
         above, digit = np.full(len(mass), -1), np.zeros(len(mass), np.int8)  # each token's last step
@@ -145,7 +146,8 @@ class Tree:
                     way.append(k)
                     todo.append((x, y, len(up) - 1))
         self.tail = len(bias)  # the first node below the tail's leaf
-        self.bias = np.stack([*bias, *[np.zeros(WAYS, np.float32)] * sum(WAYS**i for i in range(TAIL))])
+        below = [np.log(np.reshape(groups, (WAYS**i, WAYS, -1)).sum(axis=2)).astype(np.float32) for i in range(TAIL)]
+        self.bias = np.concatenate([np.stack(bias), *below])
         # Each token's steps, from its leaf up.
         steps, node, way_ = [], above.copy(), digit.astype(np.int64)
         tokens, up, way = np.arange(len(mass)), np.array(up), np.array(way)
@@ -368,7 +370,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         group = group * WAYS + F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(WAYS - 1))
     sums = {r[0]: (r[1], r[2]) for r in rest.groupBy(group.alias("g")).agg(F.sum("c"), F.count("*")).collect()}  # WAYS**TAIL rows
     group_of_ = [sums.get(k, (0, 0))[0] + 0.5 * (sums.get(k, (0, 0))[1] + 1) for k in range(WAYS**TAIL)]
-    tree = Tree(c, n - float(c.sum()))
+    tree = Tree(c, group_of_)
     if bits is None:
         bits = min(MOST_BITS, max(LEAST_BITS, (n // PER_FEATURE).bit_length()))
     weights = np.zeros((2**bits, WAYS), np.float32)

@@ -50,7 +50,7 @@ def test_learns_what_follows(spark):
 def model(seed=0, n=300):
     rng = np.random.default_rng(seed)
     counts = np.sort(rng.integers(1, 1000, n))[::-1]
-    return lm.Tree(counts, 400.0), rng.normal(0, 1, (2**9, lm.WAYS)).astype(np.float32), rng
+    return lm.Tree(counts, [25.0] * 16), rng.normal(0, 1, (2**9, lm.WAYS)).astype(np.float32), rng
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 300])
@@ -72,10 +72,10 @@ def test_probabilities_sum_to_one(n):
 
 def test_tree_without_features_gives_shares():
     counts = np.array([50, 20, 10, 5, 5, 4, 3, 2, 2, 1, 1, 1])
-    tree = lm.Tree(counts, 6.0)
+    tree = lm.Tree(counts, [0.375] * 16)
     owner, node, way = tree.steps(np.arange(12), np.zeros(12, np.uint64))
     p = lm.log_p(tree.bias, np.zeros((2, lm.WAYS), np.float32), node, [], way)
-    assert np.exp(np.bincount(owner, p) + tree.rest[:12]) == pytest.approx(counts / 110, rel=1e-4)
+    assert np.exp(np.bincount(owner, p) + tree.rest[:12]) == pytest.approx((counts + 0.5) / (counts + 0.5).sum() * (counts + 0.5).sum() / ((counts + 0.5).sum() + 6), rel=1e-4)
 
 
 def test_scores_by_hand(spark, monkeypatch):
@@ -151,3 +151,23 @@ def test_empty(empty, hard, hard_rows):
     assert lm.score(empty, F.lit(True)).count() == 0
     none = lm.score(hard, F.lit(False)).collect()
     assert len(none) == len(hard_rows) and all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in none)
+
+
+def test_unknown_tokens_cost_what_they_cost_in_the_base(spark):
+    """While the vocabulary fits into the head, held-out texts with unknown tokens score above their base too."""
+    rng = random.Random(11)
+    common = [f"w{i}" for i in range(40)]
+
+    def text():
+        at, out = rng.randrange(40), []
+        for _ in range(60):
+            at = (at * 7 + rng.choice([1, 2])) % 40
+            out.append(common[at] if rng.random() < 0.9 else f"x{rng.randrange(10**6)}")
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    held = lm.score(df, F.col("doc_id") % 5 != 1).where("doc_id % 5 = 1").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens"), F.sum("n_known")).first()
+    assert held[0] > held[1] and held[2] - held[3] > 300
+    one = spark.createDataFrame([(1, "zzqq"), (0, common[0])], "doc_id long, text string")
+    r = lm.score(df.union(one), F.col("doc_id") % 5 != 1).where("n_tokens = 2 and n_known = 1").first()
+    assert r.score == pytest.approx(r.base_score, abs=1.0)
