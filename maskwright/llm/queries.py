@@ -24,6 +24,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def decontam_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which the first and the third word of a benchmark item stand within five words of each other."""
+    w = decontam.words(F.col("text"))
+    items = _read(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(2))).alias("text"))
+    return decontam.near_items(_read(spark, sf_dir, "documents"), items, 5).select("doc_id", "item_id")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -85,7 +92,7 @@ def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score, op11_hard_negatives, op12_collocations, op13_setsketch)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_mix_sources, op5_exact_dedup, op6_language_id, op7_license_scan, op8_chat_format, op9_simhash, op10_lm_score, op11_hard_negatives, op12_collocations, op13_setsketch, decontam_proximity)}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -100,6 +107,13 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
+_PROXIMITY = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT item_id, w[1] AS x, coalesce(w[3], w[1]) AS y FROM b WHERE len(w) > 0),
+p AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT x FROM q UNION SELECT y FROM q))
+SELECT DISTINCT m.doc_id, item_id FROM q JOIN p m ON m.word = q.x JOIN p n ON n.doc_id = m.doc_id AND n.word = q.y AND abs(m.i - n.i) <= 5"""
+
 _OP5 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d"""
@@ -176,4 +190,4 @@ c AS (SELECT doc_id AS id, doc_id AS near FROM documents UNION SELECT c.id, l.b
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(near) AS component_id FROM c GROUP BY id) AS m USING (doc_id)"""
 
-ORACLES = {"op11_hard_negatives": _OP11, "op12_collocations": _OP12, "op13_setsketch": _OP13, "op2_decontaminate": _OP2, "op5_exact_dedup": _OP5, "op7_license_scan": _OP7, "op8_chat_format": _OP8}
+ORACLES = {"decontam_proximity": _PROXIMITY, "op11_hard_negatives": _OP11, "op12_collocations": _OP12, "op13_setsketch": _OP13, "op2_decontaminate": _OP2, "op5_exact_dedup": _OP5, "op7_license_scan": _OP7, "op8_chat_format": _OP8}
