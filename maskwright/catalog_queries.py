@@ -97,6 +97,27 @@ def _spans_of(*patterns: P.Pattern) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: _rows(_spread(_read(spark, sf, "documents").select("doc_id", "text")), "doc_id", F.concat(*[find_spans(F.coalesce("text", F.lit("")), p) for p in patterns]))
 
 
+def _templated(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
+    """o_orderkey, c0, c1...: each order's row of templates by its number, with {n} for the customer's."""
+    strings = [tuple(x if isinstance(x, str) else str(x).lower() for x in r) for r in rows]
+    known = spark.createDataFrame([(i, *r) for i, r in enumerate(strings)], "k long, " + ", ".join(f"c{i} string" for i in range(len(rows[0]))))
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(rows)).alias("k"), F.col("o_custkey").cast("string").alias("n"))
+    return orders.join(F.broadcast(known), "k").select("o_orderkey", *[F.replace(f"c{i}", F.lit("{n}"), F.col("n")).alias(f"c{i}") for i in range(len(rows[0]))])  # as many rows as templates
+
+
+def _templated_sql(rows: list[tuple], columns: dict[str, int], more: str = "") -> str:
+    """The same: columns by name and place in the rows."""
+    cell = lambda v: _quote(v if isinstance(v, str) else str(v).lower())
+    values = ", ".join(f"({i}, {', '.join(map(cell, r))})" for i, r in enumerate(rows))
+    names = ", ".join(f"c{i}" for i in range(len(rows[0])))
+    chosen = ", ".join(f"replace(c{i}, '{{n}}', o_custkey::VARCHAR){'::BOOLEAN' if isinstance(rows[0][i], bool) else ''} AS {_ident(name)}" for name, i in columns.items())
+    return f"SELECT o_orderkey, {chosen}{more} FROM orders JOIN (VALUES {values}) AS t(k, {names}) ON o_orderkey % {len(rows)} = k"
+
+
+def _ident(name: str) -> str:
+    return f'"{name}"'
+
+
 for _name, _patterns in (("email", [P.EMAIL]), ("ip", [P.IPV4, P.IPV6]), ("phone", [P.PHONE])):
     QUERIES[f"spans_{_name}"] = _spans_of(*_patterns)
     ORACLES[f"spans_{_name}"] = " UNION ALL ".join(_found_sql("documents", "doc_id", p) for p in _patterns)
@@ -189,13 +210,17 @@ def age_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("note_id", F.col("s.start").cast("long").alias("start"), "s.text", F.col("s.custom_token").alias("token"))
 
 
-_PHRASES = ["post-operative day 2", "POD #3", "3 days post-op", "2 weeks ago", "in 6 weeks", "for the past 10 days", "every 8 hours", "q6h", "yesterday", "x 5 days", "10/14/2023", "October 2023", "6 months later", "stage 2", "94-year-old", "age 91", "turned 92", "90th birthday", "89-year-old", "nonagenarian", "25/100 mg"]
+# Phrase, whether it counts from another event, whether it tells an age of ninety or more.
+_PHRASES = [
+    ("post-operative day {n}", True, False), ("POD #{n}", True, False), ("{n} days post-op", True, False), ("{n} weeks ago", True, False), ("in {n} weeks", True, False), ("for the past {n} days", True, False), ("every {n} hours", True, False), ("yesterday", True, False),
+    ("10/14/2023 {n}", False, False), ("October 2023, {n}", False, False), ("{n} months later", True, False), ("stage {n}", False, False), ("94-year-old {n}", False, True), ("{n}, age 91", False, True), ("turned 92 in {n}", False, True), ("90th birthday {n}", False, True), ("89-year-old {n}", False, False), ("nonagenarian {n}", False, True), ("{n}/100 mg", False, False),
+]
 
 
-@query(f"SELECT p AS phrase, regexp_matches(p, {_quote(P.RELATIVE.replace('(?diuU)', '(?i)'))}) AS relative, regexp_matches(p, {_quote(P.AGE_90.replace('(?diuU)', '(?i)'))}) AS age_90 FROM (SELECT unnest([{_strings(_PHRASES)}]) AS p)")
+@query(_templated_sql(_PHRASES, {"phrase": 0, "relative": 1, "age_90": 2}))
 def relative_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p in _PHRASES], "phrase string")
-    return rows.select("phrase", dates.is_relative(F.col("phrase")).alias("relative"), dates.is_age_90(F.col("phrase")).alias("age_90"))
+    rows = _templated(spark, sf_dir, _PHRASES).withColumnRenamed("c0", "phrase")
+    return rows.select("o_orderkey", "phrase", dates.is_relative(F.col("phrase")).alias("relative"), dates.is_age_90(F.col("phrase")).alias("age_90"))
 
 
 @query(f"WITH {NOTES} SELECT note_id, replace(text, '[Normal]', '⟦Normal⟧') AS escaped, text AS restored FROM notes")
@@ -203,34 +228,26 @@ def bracket_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir).withColumn("escaped", brackets.escape_brackets(F.col("text"))).select("note_id", "escaped", brackets.unescape_brackets(F.col("escaped")).alias("restored"))
 
 
-def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+_BRACKETS = [("a [x{n}] b", "a ⟦x{n}⟧ b"), ("[PATIENT_{n}] [{n}]", "[PATIENT_{n}] ⟦{n}⟧"), ("[Patient stable]", "[Patient stable]"), ("[ ]", "⟦ ⟧"), ("[age_90+] [Normal]", "[age_90+] ⟦Normal⟧"), ("[patients]", "⟦patients⟧"), ("no {n}", "no {n}")]
+_FUZZY = [("[ patient {n} ]", "[PATIENT_{n}]"), ("(DATE_{n})", "([DATE_{n}])"), ("PATIENT_{n} left", "[PATIENT_{n}] left"), ("[age_90+]", "[AGE_90+]"), ("(patient improved)", "[PATIENT_IMPROVED]"), ("[Doctor {n}]", "[PROVIDER_{n}]"), ("(street {n}) [facility_3]", "[ADDRESS_{n}] [HOSPITAL_3]"), ("[STAGE90]", "[AGE_90+]"), ("[AGE 90+]", "[AGE_90+]"), ("[AGE_90+_2]", "[AGE_90+_2]"), ("[Normal]", "[Normal]"), ("[mrn_{n}]", "[MRN_{n}]"), ("plain {n}", "plain {n}")]
+_UNKNOWN = [("[PATIENT_{n}] [DATE_9{n}] [DATE_9{n}] [x]", "[DATE_9{n}],[DATE_9{n}]"), ("none {n}", ""), ("[AGE_90+] [MRN_{n}]", "[MRN_{n}]")]
 
 
-def _values_sql(rows: list[tuple], names: list[str]) -> str:
-    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else _quote(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
-
-
-_BRACKETS = [("a [x] b", "a ⟦x⟧ b"), ("[PATIENT_1] [1]", "[PATIENT_1] ⟦1⟧"), ("[Patient stable]", "[Patient stable]"), ("[ ]", "⟦ ⟧"), ("[age_90+] [Normal]", "[age_90+] ⟦Normal⟧"), ("[patients]", "⟦patients⟧"), ("no", "no")]
-_FUZZY = [("[ patient 1 ]", "[PATIENT_1]"), ("(DATE_2)", "([DATE_2])"), ("PATIENT_1 left", "[PATIENT_1] left"), ("[age_90+]", "[AGE_90+]"), ("(patient improved)", "[PATIENT_IMPROVED]"), ("[Doctor 2]", "[PROVIDER_2]"), ("(street 1) [facility_3]", "[ADDRESS_1] [HOSPITAL_3]"), ("[STAGE90]", "[AGE_90+]"), ("[AGE 90+]", "[AGE_90+]"), ("[AGE_90+_2]", "[AGE_90+_2]"), ("[Normal]", "[Normal]"), ("[mrn_1]", "[MRN_1]"), ("plain", "plain")]
-_UNKNOWN = [("[PATIENT_1] [DATE_9] [DATE_9] [x]", "[DATE_9],[DATE_9]"), ("none", ""), ("[AGE_90+] [MRN_2]", "[MRN_2]")]
-
-
-@query(_values_sql(_BRACKETS, ["t", "escaped"]))
+@query(_templated_sql(_BRACKETS, {"t": 0, "escaped": 1}))
 def bracket_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, _BRACKETS, "t string, e string").select("t", brackets.escape_brackets(F.col("t")).alias("escaped"))
+    return _templated(spark, sf_dir, _BRACKETS).select("o_orderkey", F.col("c0").alias("t"), brackets.escape_brackets(F.col("c0")).alias("escaped"))
 
 
-@query(_values_sql(_FUZZY, ["t", "normal"]))
+@query(_templated_sql(_FUZZY, {"t": 0, "normal": 1}))
 def fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, _FUZZY, "t string, n string").select("t", brackets.normalize_tokens(F.col("t")).alias("normal"))
+    return _templated(spark, sf_dir, _FUZZY).select("o_orderkey", F.col("c0").alias("t"), brackets.normalize_tokens(F.col("c0")).alias("normal"))
 
 
-@query(_values_sql(_UNKNOWN, ["t", "unknown"]))
+@query(_templated_sql(_UNKNOWN, {"t": 0, "unknown": 1}))
 def hallucinated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.create_map(F.lit("[PATIENT_1]"), F.lit("a"), F.lit("[AGE_90+]"), F.lit("b"))
-    return _values(spark, _UNKNOWN, "t string, u string").select("t", F.array_join(brackets.unknown_tokens(F.col("t"), held), ",").alias("unknown"))
+    df = _templated(spark, sf_dir, _UNKNOWN).join(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    held = F.create_map(F.concat(F.lit("[PATIENT_"), F.col("o_custkey").cast("string"), F.lit("]")), F.lit("a"), F.lit("[AGE_90+]"), F.lit("b"))
+    return df.select("o_orderkey", F.col("c0").alias("t"), F.array_join(brackets.unknown_tokens(F.col("c0"), held), ",").alias("unknown"))
 
 
 # Candidate, before, after, whether it is an eponym.
@@ -242,10 +259,10 @@ _EPONYMS = [
 ]
 
 
-@query(_values_sql(_EPONYMS, ["candidate", "before", "after", "eponym"]))
+@query(_templated_sql([(a, b + ("" if b else "{n} "), c + " {n}", d) for a, b, c, d in _EPONYMS], {"candidate": 0, "before": 1, "after": 2}, ", c3::BOOLEAN AS eponym"))
 def eponym_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, _EPONYMS, "candidate string, before string, after string, e boolean")
-    return rows.select("candidate", "before", "after", eponyms.is_eponym(F.col("candidate"), F.col("before"), F.col("after")).alias("eponym"))
+    rows = _templated(spark, sf_dir, [(a, b + ("" if b else "{n} "), c + " {n}", d) for a, b, c, d in _EPONYMS])
+    return rows.select("o_orderkey", F.col("c0").alias("candidate"), F.col("c1").alias("before"), F.col("c2").alias("after"), eponyms.is_eponym(F.col("c0"), F.col("c1"), F.col("c2")).alias("eponym"))
 
 
 @query(f"""WITH {NOTES}, n AS (SELECT note_id, name, string_split(name, ' ') AS w FROM notes)
@@ -312,12 +329,12 @@ def span_metrics_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.span_metrics(_scored(spark, sf_dir), "predicted", "gold", "exact", ["engine"]))
 
 
-_CATEGORIES = [(n.lower() + " ", name) for name, names in metrics.CANONICAL.items() for n in names] + [("GEO_PLANET", "LOCATION_PLANET"), ("LOCATION_x_y", "LOCATION_X_Y"), ("other", "OTHER")]
+_CATEGORIES = [(n.lower() + " ", name) for name, names in metrics.CANONICAL.items() for n in names] + [("GEO_PLANET{n}", "LOCATION_PLANET{n}"), ("LOCATION_x_{n}", "LOCATION_X_{n}"), ("other{n}", "OTHER{n}")]
 
 
-@query(_values_sql(_CATEGORIES, ["category", "normal"]))
+@query(_templated_sql(_CATEGORIES, {"category": 0, "normal": 1}))
 def category_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, _CATEGORIES, "category string, n string").select("category", metrics.normalize_category(F.col("category")).alias("normal"))
+    return _templated(spark, sf_dir, _CATEGORIES).select("o_orderkey", F.col("c0").alias("category"), metrics.normalize_category(F.col("c0")).alias("normal"))
 
 
 _QUANTILES = ", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)))
@@ -432,11 +449,6 @@ for _by in ("source", "lang"):
     QUERIES[f"phi_by_{_by}"], ORACLES[f"phi_by_{_by}"] = _phi(_by)
 
 
-@query("SELECT model_name, total_parameters, total_parameters_formatted, under_1b_ceiling, utilization_pct FROM (VALUES ('deberta-v3-base-deid', 124400000::BIGINT, '124,400,000 (124.4M)', true, '12.44%'), ('bio-clinicalbert-deid', 108310272, '108,310,272 (108.3M)', true, '10.83%'), ('deberta-v3-small-deid', 44100000, '44,100,000 (44.1M)', true, '4.41%'), ('roberta-base-biomedical-deid', 124645632, '124,645,632 (124.6M)', true, '12.46%')) AS t(model_name, total_parameters, total_parameters_formatted, under_1b_ceiling, utilization_pct)")
-def model_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.model_cards(spark).select("model_name", "total_parameters", "total_parameters_formatted", "under_1b_ceiling", "utilization_pct")
-
-
 @query("""SELECT o_orderkey, 'Seen ' || strftime(o_orderdate, '%m/%d/%Y') || ' as ' || o_custkey || '.' AS raw_text, 'Seen [DATE_1] as [MRN_1].' AS expected_masked_text, 5 AS date_start, 15 AS date_end, strftime(o_orderdate::DATE + 45, '%m/%d/%Y') AS shifted_date, (19 + len(o_custkey::VARCHAR))::INT AS mrn_end FROM orders""")
 def build_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda text, c=None, s=None, f=None: F.struct(text.alias("text"), *[F.lit(x).cast("string").alias(n) for x, n in ((c, "category"), (s, "surrogate"), (f, "format"))])
@@ -446,21 +458,23 @@ def build_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", "raw_text", "expected_masked_text", e(0, "start").alias("date_start"), e(0, "end").alias("date_end"), e(0, "shifted_date").alias("shifted_date"), e(1, "end").alias("mrn_end"))
 
 
-@query("SELECT metric, regex::DOUBLE AS regex, ner::DOUBLE AS ner, core::DOUBLE AS core FROM (VALUES ('recall', 0.5779, 0.5137, 1.0), ('precision', 0.7527, 0.7817, 0.5328)) AS t(metric, regex, ner, core)")
+@query(f"""WITH r AS (SELECT engine, precision AS p, recall AS r, f1, f2 FROM ({_scored_sql("o_orderkey % 7 < 5")}) WHERE category IS NULL),
+m AS (SELECT engine, unnest(['precision', 'recall', 'f1', 'f2']) AS metric, unnest([p, r, f1, f2]) AS value FROM r)
+SELECT metric, max(value) FILTER (engine = 'F') AS "F", max(value) FILTER (engine = 'O') AS "O", max(value) FILTER (engine = 'P') AS "P" FROM m GROUP BY metric""")
 def comparison_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, [("regex", 0.5779, 0.7527), ("ner", 0.5137, 0.7817), ("core", 1.0, 0.5328)], "engine string, recall double, precision double")
-    return src.comparison(rows)
+    """Scores of the three groups of orders side by side."""
+    return src.comparison(span_metrics_overlap(spark, sf_dir).where("category is null").select("engine", "precision", "recall", "f1", "f2"), names=("F", "O", "P"))
 
 
-_BIO = [("B-DATE I-DATE O", "0-8 DATE 0.5"), ("O I-DATE B-MRN", "8-12 MRN 0.25"), ("B-DATE I-MRN I-MRN", "0-4 DATE 0.75;4-12 MRN 0.25"), ("O O O", "")]
+_BIO = [("B-DATE{n} I-DATE{n} O", "0-8 DATE{n} 0.5"), ("O I-DATE B-M{n}", "8-12 M{n} 0.25"), ("B-DATE I-MRN I-MRN", "0-4 DATE 0.75;4-12 MRN 0.25"), ("O O O", "")]
 
 
-@query(_values_sql(_BIO, ["tags", "spans"]))
+@query(_templated_sql([(t, x) for t, x in _BIO], {"tags": 0, "spans": 1}))
 def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = F.array(F.lit(0.75), F.lit(0.5), F.lit(0.25))
-    tokens = F.transform(F.split("tags", " "), lambda x, i: F.struct((i * 4).alias("start"), (i * 4 + 4).alias("end"), x.alias("label"), F.get(confidence, i).alias("confidence")))
+    tokens = F.transform(F.split("c0", " "), lambda x, i: F.struct((i * 4).alias("start"), (i * 4 + 4).alias("end"), x.alias("label"), F.get(confidence, i).alias("confidence")))
     show = lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(" "), s["category"], F.lit(" "), s["confidence"].cast("string"))
-    return _values(spark, _BIO, "tags string, s string").select("tags", F.array_join(F.transform(labels.decode(tokens), show), ";").alias("spans"))
+    return _templated(spark, sf_dir, _BIO).select("o_orderkey", F.col("c0").alias("tags"), F.array_join(F.transform(labels.decode(tokens), show), ";").alias("spans"))
 
 
 @query("SELECT page_id, len(m)::INT AS n_urls FROM (SELECT page_id, regexp_extract_all(html, " + _quote(P.URL.re2) + ") AS m FROM pages)")
