@@ -29,7 +29,7 @@ hash, equal sets by 128 bits. An empty table gives no rows; other columns are ig
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,7 +229,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _settle(least: int, out_of: int):
+def settle(least: int, out_of: int):
     """Links a, b between nodes of different components, one for two components, of the units (unit, side, part, node, s) of a task, which come by unit."""
 
     def unit(rows: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
@@ -266,7 +266,7 @@ def _settle(least: int, out_of: int):
     return run
 
 
-def _blocks(of: DataFrame) -> DataFrame:
+def blocks_of(of: DataFrame) -> DataFrame:
     """group, block, whole, node, part of nodes (group, part, node, n): blocks of some BLOCK nodes and SHINGLES shingles. Large components
     have blocks of their own (whole: that component), small ones share blocks."""
     parts = of.groupBy("group", "part").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
@@ -279,6 +279,25 @@ def _blocks(of: DataFrame) -> DataFrame:
     return table(placed.select("group", F.xxhash64("group", "whole", F.col("whole").isNull(), piece).alias("block"), "whole", "node", "part"), "blocks")
 
 
+def within(around: DataFrame, part: DataFrame, sizes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: int, out_of: int) -> DataFrame:
+    """Links a, b that join what the similar pairs within each neighbourhood join. around, part: id, component_id of nodes by neighbourhood and
+    by the links so far; sizes: node, n; sets_of: from a table of nodes to node, s."""
+    of = around.join(part.toDF("node", "part"), around["id"] == F.col("node"), "left").select(F.col("component_id").alias("group"), F.coalesce("part", "id").alias("part"), F.col("id").alias("node"))
+    of = table(of.join(sizes, "node"), "members")
+    several = table(of.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("group"), "several")
+    blocks = blocks_of(of.join(several, "group"))
+    sets = sets_of(blocks.select("node"))
+    one = blocks.select("group", "block", "whole").distinct()
+    units = one.join(one.toDF("group", "other", "other_whole"), "group").where("block <= other and (whole is null or other_whole is null or whole <> other_whole)")
+    units = table(units.select(F.monotonically_increasing_id().alias("unit"), "block", "other"), "units")
+    sides = units.select("unit", F.lit(0).alias("side"), "block").union(units.where("block <> other").select("unit", F.lit(1), "other"))
+    work = sides.join(blocks.select("block", "part", "node"), "block").join(sets, "node").select("unit", "side", "part", "node", "s")
+    out = table(work.repartition("unit").sortWithinPartitions("unit").mapInArrow(settle(least, out_of), "a long, b long"), "more")
+    for x in (of, several, blocks, sets, units):
+        drop(x)
+    return out
+
+
 def links(docs: DataFrame, nodes: DataFrame, size: int, least: int, out_of: int) -> DataFrame:
     """a, b: links between the written nodes (node, doc_id, n, d1, d2, b0 to b3, registers), enough of them to connect what all links connect."""
     confirm = _Confirm(docs, nodes, size, least, out_of)
@@ -309,18 +328,8 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, least: int, out_of: int)
     nearest = table(stars.join(near, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "nearest")
     found = confirm.similar(nearest)
     part = table(components(found), "part")
-    of = around.join(part.toDF("node", "part"), around["id"] == F.col("node"), "left").select(F.col("component_id").alias("group"), F.coalesce("part", "id").alias("part"), F.col("id").alias("node"))
-    of = table(of.join(nodes.select("node", "n"), "node"), "members")
-    several = table(of.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("group"), "several")
-    blocks = _blocks(of.join(several, "group"))
-    sets = confirm.sets(blocks.select("node"))
-    one = blocks.select("group", "block", "whole").distinct()
-    units = one.join(one.toDF("group", "other", "other_whole"), "group").where("block <= other and (whole is null or other_whole is null or whole <> other_whole)")
-    units = table(units.select(F.monotonically_increasing_id().alias("unit"), "block", "other"), "units")
-    sides = units.select("unit", F.lit(0).alias("side"), "block").union(units.where("block <> other").select("unit", F.lit(1), "other"))
-    work = sides.join(blocks.select("block", "part", "node"), "block").join(sets, "node").select("unit", "side", "part", "node", "s")
-    more = table(work.repartition("unit").sortWithinPartitions("unit").mapInArrow(_settle(least, out_of), "a long, b long"), "more")
-    for x in (shared, some, weights, heads, met, stars, left, open_keys, asked, pairs, of, several, blocks, sets, units):
+    more = within(around, part, nodes.select("node", "n"), confirm.sets, least, out_of)
+    for x in (shared, some, weights, heads, met, stars, left, open_keys, asked, pairs):
         drop(x)
     return found.union(more)
 

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as pipeline
-from maskwright.llm import similar
+from maskwright.llm import setsketch, similar
 
 from .conftest import words
 
@@ -53,3 +53,18 @@ def test_pipeline_drops_near_copies_beyond_three_bits(spark, hard_rows, tmp_path
     out = stage(spark, df, str(tmp_path))
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect())) == sorted([rows[0], rows[3], rows[4]])
+
+
+def test_copies_just_above_and_below_the_threshold(spark, monkeypatch):
+    """Neighbourhoods that the nearest pairs don't join, settled in small blocks."""
+    monkeypatch.setattr(setsketch, "BLOCK", 3)
+    rng = random.Random(13)
+    base, rows = words(rng, 90).split(), []
+    for _ in range(30):
+        text = list(base)
+        for at in rng.sample(range(90), rng.choice([0, 1, 2, 2])):
+            text[at] = words(rng, 1)
+        rows.append((len(rows), " ".join(text)))
+    want = reach(rows)
+    got = {r.id: r.component_id for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "doc_id").collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == want and 1 < len(set(want.values())) < 28
