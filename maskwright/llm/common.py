@@ -59,11 +59,23 @@ def passing(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet. The shuffle files of the write go when it ends, since nothing reads them again; else they stay until the driver's garbage collector
+    finds them."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost
     executor costs no recomputation of what came before."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
