@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from .catalog_queries import NOTES, _found_sql, _read, _rounded, _scored, _scored_sql, notes, query
 from .functions import patterns as P
 from .functions.spans import find_spans
-from .operators import leaks, spantables
+from .operators import gazetteer, leaks, spantables, tagger
 from .streaming import patients
 
 
@@ -116,3 +116,48 @@ def patient_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = n.withColumn("spans", F.array(*[span(i, c, k) for i, (c, k) in enumerate((("dob", "DATE"), ("mrn", "MRN"), ("doctor", "PROVIDER"), ("visit", "DATE")))]))
     out = patients.number_notes(n.select("note_id", "patient_id", "visit", "spans"), "patient_id", "visit", "note_id", text=None)
     return out.select("note_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def _gold(df: DataFrame) -> DataFrame:
+    """notes with gold, the spans of their fields."""
+    at = lambda c: F.expr(f"cast(instr(text, {c}) - 1 as int)")
+    fields = (("name", "PATIENT"), ("dob", "DATE"), ("mrn", "MRN"), ("doctor", "PROVIDER"), ("phone", "PHONE"), ("visit", "DATE"))
+    return df.withColumn("gold", F.array(*[F.struct(at(c).alias("start"), (at(c) + F.length(c)).alias("end"), F.lit(k).alias("category")) for c, k in fields]))
+
+
+_FIELDS_SQL = " UNION ALL ".join(
+    f"""SELECT note_id, (strpos(text, {c}) - 1)::INT AS "start", (strpos(text, {c}) - 1 + len({c}))::INT AS "end", {c} AS text, '{k}' AS category, note_id % 5 = 0 AS held_out FROM notes"""
+    for c, k in (("name", "PATIENT"), ("dob", "DATE"), ("mrn", "MRN"), ("doctor", "PROVIDER"), ("phone", "PHONE"), ("visit", "DATE"))
+)
+
+
+@query(f"WITH {NOTES} {_FIELDS_SQL}")
+def tagged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that a sequence tagger finds in all notes; it learns from four fifths of them."""
+    df = _gold(notes(spark, sf_dir)).select("note_id", "text", "gold")
+    model = tagger.train(df.where("note_id % 5 <> 0"), "text", "gold", rounds=2)
+    found = tagger.tag(df, model, "text", "found").select("note_id", "text", F.explode("found").alias("s"))
+    return found.select("note_id", "s.start", "s.end", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("text"), "s.category", F.expr("note_id % 5 = 0").alias("held_out"))
+
+
+_LISTED = r"[\p{L}\p{M}\p{N}_]+"
+
+
+@query(rf"""
+WITH RECURSIVE t AS (SELECT item_id, regexp_extract_all(text, '{_LISTED}') AS w FROM benchmark WHERE text IS NOT NULL),
+names AS (SELECT phrase, min(category) AS category, max(n) AS n FROM (SELECT array_to_string(w[1:k], ' ') AS phrase, 'FIRST_' || k AS category, k AS n FROM t, (VALUES (2), (4)) x(k) WHERE len(w) >= k) GROUP BY phrase),
+d AS (SELECT doc_id, regexp_extract_all(text, '{_LISTED}') AS w, regexp_split_to_array(text, '{_LISTED}') AS g FROM documents),
+q AS (SELECT doc_id, unnest(w) AS w, unnest(g[:len(w)]) AS g, unnest(range(1, len(w) + 1)) AS i FROM d),
+o AS (SELECT *, sum(len(g) + len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM q),
+s AS (SELECT doc_id, i, stop - len(w) AS start, w, lead(w, 1) OVER v AS w1, lead(w, 2) OVER v AS w2, lead(w, 3) OVER v AS w3, lead(g, 1) OVER v AS g1, lead(g, 2) OVER v AS g2, lead(g, 3) OVER v AS g3, stop, lead(stop, 1) OVER v AS e2, lead(stop, 3) OVER v AS e4 FROM o WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, start, e2 AS stop, w || regexp_replace(g1, '\s+', ' ', 'g') || w1 AS phrase FROM s WHERE w1 IS NOT NULL UNION ALL SELECT doc_id, start, e4, w || regexp_replace(g1, '\s+', ' ', 'g') || w1 || regexp_replace(g2, '\s+', ' ', 'g') || w2 || regexp_replace(g3, '\s+', ' ', 'g') || w3 FROM s WHERE w3 IS NOT NULL),
+f AS (SELECT doc_id, start, max(stop) AS stop, arg_max(phrase, stop) AS phrase, arg_max(category, stop) AS category FROM c JOIN names USING (phrase) GROUP BY doc_id, start),
+n AS (SELECT f.*, min(h.start) AS follows FROM f LEFT JOIN f h ON h.doc_id = f.doc_id AND h.start >= f.stop GROUP BY ALL),
+r AS (SELECT * FROM n WHERE start = (SELECT min(start) FROM f WHERE f.doc_id = n.doc_id) UNION ALL SELECT n.* FROM r JOIN n ON n.doc_id = r.doc_id AND n.start = r.follows)
+SELECT doc_id, start::INT AS "start", stop::INT AS "end", phrase AS text, category FROM r""")
+def gazetteer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first two and four words of benchmark items stand in documents, the longer first."""
+    words = F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0))
+    names = _read(spark, sf_dir, "benchmark").select(words.alias("w")).select("w", F.explode(F.array(F.lit(2), F.lit(4))).alias("k")).where("size(w) >= k")
+    names = names.select(F.array_join(F.expr("slice(w, 1, k)"), " ").alias("name"), F.concat(F.lit("FIRST_"), "k").alias("category"))
+    return gazetteer.find_names(_read(spark, sf_dir, "documents"), "doc_id", "text", names)

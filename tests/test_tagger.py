@@ -1,0 +1,82 @@
+import random
+from itertools import product
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from maskwright.operators import detect, metrics, tagger
+
+FIRST = ["Ada", "Bo", "Carla", "Dirk", "Esra", "Fay", "Gus", "Hana", "Ivo", "Jun", "Kai", "Lena"]
+LAST = ["Ahlers", "Brand", "Cole", "Dunn", "Ek", "Frost", "Gray", "Holm", "Ito", "Jansen", "Krug", "Lind"]
+SPANS = "array<struct<start:int,end:int,category:string>>"
+
+
+def note(rng, first, last):
+    pieces, spans = [], []
+    for text, kind in [
+        (rng.choice(["Seen by Dr. ", "Attending: "]), None), (rng.choice(last), "PROVIDER"), (rng.choice([" on ", ", "]), None),
+        (f"{rng.randint(1, 12):02}/{rng.randint(1, 28):02}/{rng.randint(1950, 2020)}", "DATE"), (rng.choice([". Patient ", ". PATIENT: "]), None),
+        (f"{rng.choice(first)} {rng.choice(last)}", "PATIENT"), (rng.choice([" took 25 mg.", " is well.", ", phone "]), None),
+    ]:
+        at = sum(map(len, pieces))
+        pieces.append(text)
+        if kind:
+            spans.append((at, at + len(text), kind))
+    return "".join(pieces), spans
+
+
+def test_held_out_names(spark):
+    """Names that training hasn't seen are found by shape and neighbours."""
+    rng = random.Random(5)
+    taught = [(i, *note(rng, FIRST[:8], LAST[:8])) for i in range(300)]
+    asked = [(i, *note(rng, FIRST[8:], LAST[8:])) for i in range(100)]
+    schema = f"id long, text string, gold {SPANS}"
+    model = tagger.train(spark.createDataFrame(taught, schema).repartition(3), "text", "gold", rounds=3)
+    assert model.labels == ("O", "B-DATE", "I-DATE", "B-PATIENT", "I-PATIENT", "B-PROVIDER", "I-PROVIDER")
+    found = tagger.tag(spark.createDataFrame(asked, schema), model, out="found")
+    score = metrics.span_metrics(found, "found", "gold", "exact").where("category is null").first()
+    assert score.f1 > 0.95
+    least = found.select(F.min(F.array_min(F.transform("found", lambda s: s["confidence"])))).first()[0]
+    assert 0.5 <= least <= 1
+    both = found.select("text", detect.with_model_spans(F.array().cast("array<" + detect_span() + ">"), tagger.as_spans(F.col("found"), F.col("text"))).alias("s"))
+    assert all(r.text[s.start : s.end] == s.text for r in both.collect() for s in r.s)
+
+
+def detect_span():
+    from maskwright.functions.spans import SPAN
+
+    return SPAN
+
+
+def test_viterbi_equals_all_paths():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5):
+        e, m = rng.normal(size=(n, 3)), rng.normal(size=(3, 3))
+        score = {p: sum(e[i, x] for i, x in enumerate(p)) + sum(m[a, b] for a, b in zip(p, p[1:])) for p in product(range(3), repeat=n)}
+        best = max(score, key=score.get)
+        path, lead = tagger.viterbi(e, m)
+        assert tuple(path) == best
+        for i in range(n):
+            assert np.isclose(lead[i], score[best] - max(v for p, v in score.items() if p[i] != best[i]))
+
+
+def test_nulls_long_texts_and_empty_tables(spark):
+    schema = f"text string, spans {SPANS}, other string"
+    rows = [(None, [(0, 3, "DATE")], "x"), ("", [], "x"), ("in Rome", None, "x"), ("in 1999 at 2001", [(3, 7, "DATE"), (11, 15, "DATE"), (None, 4, "DATE"), (3, 7, None)], None)] * 4
+    model = tagger.train(spark.createDataFrame(rows, schema), rounds=3, bits=12)
+    got = tagger.tag(spark.createDataFrame([*rows, ("in 1999 at Rome " * 3000, None, "y")], schema), model, out="found")
+    assert "other" in got.columns
+    for r in got.collect():
+        text = r.text or ""
+        assert [(s.start, s.end) for s in r.found] == [(i, i + 4) for i in range(len(text)) if text[i : i + 4] in ("1999", "2001")]
+    none = tagger.train(spark.createDataFrame([], schema))
+    assert none.labels == ("O",)
+    assert tagger.tag(spark.createDataFrame([("in 1999",)], "text string"), none).first().spans == []
+
+
+def test_labels_of_overlaps():
+    known = {x: i for i, x in enumerate(["O", "B-A", "I-A", "B-B", "I-B"])}
+    one = lambda a, b, c: {"start": a, "end": b, "category": c}
+    at = tagger.tokens("aa bb cc dd")
+    assert list(tagger.gold_labels(at, [one(0, 5, "A"), one(3, 8, "B"), one(9, 11, "B")], known)) == [1, 2, 0, 3]
+    assert list(tagger.gold_labels(at, [one(0, 2, "A"), one(3, 5, "A")], known)) == [1, 1, 0, 0]
