@@ -5,7 +5,7 @@ changes are averaged by how many texts each task had, in a shuffle by weight. Th
 what comes back to the driver have a size set by parameters and not by the corpus: 2^16 rows and 21 labels are 11 MB. The result
 depends on how the rows lie in partitions (tasks are mixed), and on nothing else.
 
-A wrong label is corrected by `weight` where the right one isn't O and by 1 where it is, since most words are O.
+A window in which a wrong label should be another than O is corrected by `weight`, any other by 1, since most words are O.
 
 Defined results: null and empty texts have no spans and teach nothing; a null array of spans counts as empty; spans that hold no word are passed over;
 of spans that overlap, a word has the label of the first that holds it; repeated rows teach repeatedly; from an empty table comes a model that finds
@@ -146,12 +146,11 @@ def _teach(rows: Iterator[tuple[str, list[dict]]], model: Model, weight: float)
             path, _ = viterbi(now[f].sum(axis=1), now[start:] + legal)
             wrong = np.flatnonzero(path != gold)
             if len(wrong):
-                step = np.where(gold[wrong] != 0, weight, 1.0).astype(np.float32)
+                step = np.float32(weight if gold[wrong].any() else 1.0)  # one for the whole window, so that rounds settle
                 for labels, sign in ((gold, 1.0), (path, -1.0)):
                     for target, by in ((now, 1.0), (weighed, float(steps - 1))):
-                        np.add.at(target, (f[wrong], labels[wrong][:, None]), (sign * by * step)[:, None])
+                        np.add.at(target, (f[wrong], labels[wrong][:, None]), sign * by * step)
                 moved = np.flatnonzero((path[1:] != gold[1:]) | (path[:-1] != gold[:-1]))
-                step = np.where(gold[moved + 1] != 0, weight, 1.0).astype(np.float32)
                 for labels, sign in ((gold, 1.0), (path, -1.0)):
                     for target, by in ((now, 1.0), (weighed, float(steps - 1))):
                         np.add.at(target, (start + labels[moved], labels[moved + 1]), sign * by * step)

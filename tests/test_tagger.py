@@ -62,8 +62,8 @@ def test_viterbi_equals_all_paths():
 
 def test_nulls_long_texts_and_empty_tables(spark):
     schema = f"text string, spans {SPANS}, other string"
-    rows = [(None, [(0, 3, "DATE")], "x"), ("", [], "x"), ("in Rome", None, "x"), ("in 1999 at 2001", [(3, 7, "DATE"), (11, 15, "DATE"), (None, 4, "DATE"), (3, 7, None)], None)] * 4
-    model = tagger.train(spark.createDataFrame(rows, schema), rounds=3, bits=12)
+    rows = [(None, [(0, 3, "DATE")], "x"), ("", [], "x"), ("in Rome", None, "x"), ("in 1999 at 2001", [(3, 7, "DATE"), (11, 15, "DATE"), (None, 4, "DATE"), (3, 7, None)], None), ("in 1999 at Rome in 1999 at Rome in 2001", [(3, 7, "DATE"), (19, 23, "DATE"), (35, 39, "DATE")], None)] * 8
+    model = tagger.train(spark.createDataFrame(rows, schema), rounds=12)
     got = tagger.tag(spark.createDataFrame([*rows, ("in 1999 at Rome " * 3000, None, "y")], schema), model, out="found")
     assert "other" in got.columns
     for r in got.collect():
