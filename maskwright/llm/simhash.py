@@ -176,6 +176,18 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def close_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """a, b, as a table: every document whose fingerprint others share with the first of these, and links between the firsts, enough of them to connect what all
+    links connect. id_col: unique numbers without nulls."""
+    fps = fingerprints(docs, id_col, text_col, size)
+    nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    same = fps.join(nodes.where("n > 1"), "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    out = table(same.union(links(nodes.select("fp", "rep"), bits)), "close")
+    drop(fps)
+    drop(nodes)
+    return out
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """A row for each of docs: id, fp, component_id."""
     fps = fingerprints(docs, id_col, text_col, size)

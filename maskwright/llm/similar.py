@@ -1,8 +1,9 @@
 """Operator 9 for a Jaccard similarity: all pairs of texts at or above it, by word shingles.
 
-The grid of `simhash` finds links of three bits; texts of similarity 0.8 lie about seven bits apart,
-some well over ten, where cells of a grid hold next to everything. So candidates come from a
-prefix filter, which loses none: with all shingles in one order, two texts that overlap in o of their n and m
+First come SimHash fingerprints and their grid (`simhash`): texts of equal fingerprints and links of up to three bits, settled by both sets. Texts of
+similarity 0.8 lie about seven bits apart, some well over ten, where cells of a grid hold next to everything; so what
+the grid can't reach comes from a prefix filter, which loses none. It starts from the neighbourhoods that the fingerprints gave.
+With all shingles in one order, two texts that overlap in o of their n and m
 shingles share one of the first n - o + 1 and m - o + 1. The larger text asks with the n - ceil(t n) + 1
 that any partner needs, the smaller one offers no more than partners of its own size or above need; so
 a shingle that many texts share but none of them early enough brings no pair together. The order puts
@@ -13,8 +14,8 @@ of the two has. What is left is settled by both sets.
 
 So that a large group of copies costs no pair for each two of its members, every text is first compared
 with one of those at each shingle, drawn anew in each of three rounds. Where the bounds leave such a pair, both are of one neighbourhood; at shingles where several neighbourhoods
-still meet, texts of different ones are compared too, and what the bounds leave joins these. Every similar pair then lies within a neighbourhood. Each text's nearest pair of the
-rounds is settled by both sets, and what that hasn't joined within a neighbourhood block by block (`setsketch.within`): a
+still meet, texts of different ones are compared too, and what the bounds leave joins these. Every similar pair then lies within a neighbourhood. The pairs that
+the bounds left are settled by both sets, and what that hasn't joined within a neighbourhood block by block (`setsketch.within`): a
 neighbourhood of texts just below the threshold costs work in the square of its size, but no rows. Components over the links so found equal those over all.
 
 Defined results: ids are row numbers, so rows with null or repeated ids or repeated texts are rows of their own, and ties go to the smaller number; very
@@ -37,6 +38,7 @@ from .common import bounded, drop, ship, table
 from .components import components
 from .hashing import shingle_hashes
 from .setsketch import within
+from .simhash import close_pairs
 
 SIZE, SIMILARITY = 5, 0.8
 #: Documents whose shingles are counted for the order, and common shingles that are broadcast (2 MB).
@@ -127,7 +129,7 @@ class _Verify:
         return self.rows.join(bounded(ids), "id", "left_semi").select("id", "text")
 
     def may(self, pairs: DataFrame) -> DataFrame:
-        """a, b, apart of the written pairs (a, b) that the bound leaves, as a table."""
+        """The written pairs (a, b) that the bound leaves, as a table."""
         size, most = self.size, (1 - self.similarity) / (1 + self.similarity)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +142,7 @@ class _Verify:
         counts = table(self._texts(ids).mapInArrow(count, "id long, n int, counts array<byte>"), "counts")
         found = pairs.join(counts.toDF("a", "n", "x"), "a").join(counts.toDF("b", "m", "y"), "b")
         found = found.withColumn("apart", F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda z, d: z + d))
-        found = table(found.where(F.col("apart") <= most * (F.col("n") + F.col("m")) + 1e-9).select("a", "b", "apart"), "may")
+        found = table(found.where(F.col("apart") <= most * (F.col("n") + F.col("m")) + 1e-9).select("a", "b"), "may")
         drop(ids)
         drop(counts)
         return found
@@ -174,31 +176,33 @@ def groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = SIZ
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     by_key = W.partitionBy("key")
     me = F.struct("id", "n", "at")
+    verify = _Verify(rows, size, similarity)
+    close = close_pairs(rows, "id", "text", size)
+    sure = verify.similar(close)
     met = prefixes(rows, size, similarity).withColumns({"c": F.count("*").over(by_key), "offers": F.max("offer").over(by_key)})
     met = table(met.where("c > 1 and offers").drop("c", "offers"), "met")
-    verify = _Verify(rows, size, similarity)
-    left, near = table(met.withColumn("around", F.col("id")), "left"), None
+    around = table(components(sure), "around")
+    left, near = table(met.join(around, "id", "left").withColumn("around", F.coalesce("component_id", "id")).drop("component_id"), "left"), sure
     for k in range(ROUNDS):  # heads drawn by hash, of the keys at which neighbourhoods still meet
         heads = table(left.groupBy("key").agg(F.min_by(F.struct("id", "n", "at", "around"), F.xxhash64(F.lit(k), "id")).alias("first")), "heads")
         stars = left.join(heads, "key").withColumn("own", me).where(F.col("first.around") != F.col("around")).where(_may("first", "own", similarity))
         stars = table(stars.select(F.least("first.id", "id").alias("a"), F.greatest("first.id", "id").alias("b")).distinct(), "stars")
         found = verify.may(stars)
-        near = found if near is None else table(near.union(found), "near")
-        around = table(components(near.select("a", "b")), "around")
+        near = table(near.union(found), "near")
+        around = table(components(near), "around")
         now = left.drop("around").join(around, "id", "left").withColumn("around", F.coalesce("component_id", "id")).drop("component_id")
         several = table(now.groupBy("key").agg(F.min("around").alias("lo"), F.max("around").alias("hi")).where("lo <> hi").select("key"), "several")
         left = table(now.join(several, "key"), "left")
     l, r = left.alias("l"), left.alias("r")
     pairs = l.join(r, F.expr("l.key = r.key and l.offer and (l.n < r.n or l.n = r.n and r.offer and l.id < r.id) and l.around <> r.around") & _may("l", "r", similarity))
     pairs = table(pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "pairs")
-    bridges = verify.may(pairs)
-    around = table(components(near.select("a", "b").union(bridges.select("a", "b"))), "around")
-    nearest = table(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("first")).select("first.a", "b"), "nearest")
-    links = verify.similar(nearest)
+    near = table(near.union(verify.may(pairs)), "near")
+    around = table(components(near), "around")
+    links = verify.similar(near)
     part = table(components(links), "part")
     sizes = table(met.select(F.col("id").alias("node"), "n").distinct(), "sizes")
     more = within(around, part, sizes, verify.sets, round(similarity * 1000), 1000)
     out = table(components(links.union(more)), "part")
-    for x in (met, near, left, pairs, bridges, around, nearest, links, part, sizes, more):
+    for x in (close, sure, met, near, left, pairs, around, links, part, sizes, more):
         drop(x)
     return out
