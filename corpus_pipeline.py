@@ -38,7 +38,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9 in its form for Jaccard similarity: of texts with a Jaccard similarity of 0.8 or more over five-word shingles, directly or
+    """Operator 9 in its form for Jaccard similarity, fingerprints first: of texts with a Jaccard similarity of 0.8 or more over five-word shingles, directly or
     by way of others, the row with the smallest doc_id."""
     rows = numbered(docs)
     found = similar.groups(rows, ROW, size=5, similarity=0.8).join(rows.select(F.col(ROW).alias("id"), "doc_id"), "id")
@@ -76,11 +76,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stage wrote besides its result goes when that is written, and so does its input."""
     docs = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    before = docs.table_path
+    before = getattr(docs, "table_path", None)
     for i, (_, stage) in enumerate(STAGES):
         path = scratch(spark, f"stage{i}")
         with passing(spark):
             write(stage(spark, docs, sf_dir), path)
-        delete(spark, before)
+        if before:
+            delete(spark, before)
         docs, before = spark.read.parquet(path), path
     return docs.drop(ROW)

@@ -113,8 +113,16 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with the number of each row in ROW, written so that the numbers stay; docs itself if it has them."""
-    return docs if ROW in docs.columns else table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """docs with a number of each row in ROW, which stays the same whenever it is read; docs itself if it has them. What is read from Parquet files
+    as they are is numbered by file and place; all else is written."""
+    if ROW in docs.columns:
+        return docs
+    if "_metadata" not in docs.columns and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        found = docs.select("*", "_metadata.file_path", "_metadata.row_index").toDF(*docs.columns, "__file", "__at")
+        files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())  # a name for each file
+        named = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "__file string, __k long")
+        return found.join(F.broadcast(named), "__file").select(*docs.columns, (F.col("__k") * 2**40 + F.col("__at")).alias(ROW))
+    return table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -10,7 +10,7 @@ a shingle that many texts share but none of them early enough brings no pair tog
 shingles that are common in a sample of the texts last; any order gives the same pairs. Of the texts
 that meet at a shingle, bounds rule pairs out: sizes, the places of the shingle in both, and the Manhattan
 distance of their counts of shingles by segment, which is at most the number of shingles that only one
-of the two has. What is left is settled by both sets.
+of the two has. Long texts have more segments. What is left is settled by both sets.
 
 So that a large group of copies costs no pair for each two of its members, every text is first compared
 with one of those at each shingle, drawn anew in each of three rounds. Where the bounds leave such a pair, both are of one neighbourhood; at shingles where several neighbourhoods
@@ -47,8 +47,8 @@ SAMPLE, COMMON = 10_000, 2**17
 CHUNK = 2_000_000
 #: Rounds of drawn heads.
 ROUNDS = 3
-#: Segments (by a hash's leading bits) whose shingles are counted for the lower bound.
-SEGMENTS = 256
+#: Segments (by a hash's leading bits) whose shingles are counted for the lower bound, at least; up to this many are counted in one.
+SEGMENTS, CLIP = 256, 127
 
 
 def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -57,6 +57,21 @@ def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
     return found if len(found) else np.zeros(1, np.uint64)
 
 
+def segment_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes lie in each segment; a power of two of them, two to four hashes in each in the mean, else the bound would pass any two long texts."""
+    bits = max(SEGMENTS, 1 << max(0, len(hashes).bit_length() - 2)).bit_length() - 1
+    found = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(found, CLIP).astype(np.uint8)
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """The Manhattan distance of two texts' segment counts, in the coarser one's segments."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    n = min(len(x), len(y))
+    x, y = (np.minimum(z.reshape(n, -1).sum(axis=1), CLIP) for z in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that come up often in a sample of rows (id, text), sorted, and how often."""
 
@@ -135,14 +150,18 @@ class _Verify:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = [shingles(x.as_py() or b"", size) for x in batch.column(1)]
-                counts = [np.minimum(np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=SEGMENTS), 127).astype(np.int8) for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(counts, pa.list_(pa.int8()))], ["id", "n", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([segment_counts(x).tobytes() for x in sets], pa.binary())], ["id", "n", "counts"])
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, m, x, y = (batch.column(i) for i in range(2, 6))
+                apart = np.array([distance(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], np.int64)
+                yield batch.select(["a", "b"]).filter(pa.array(apart <= most * (n.to_numpy().astype(float) + m.to_numpy()) + 1e-9))
 
         ids = table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        counts = table(self._texts(ids).mapInArrow(count, "id long, n int, counts array<byte>"), "counts")
+        counts = table(self._texts(ids).mapInArrow(count, "id long, n int, counts binary"), "counts")
         found = pairs.join(counts.toDF("a", "n", "x"), "a").join(counts.toDF("b", "m", "y"), "b")
-        found = found.withColumn("apart", F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda z, d: z + d))
-        found = table(found.where(F.col("apart") <= most * (F.col("n") + F.col("m")) + 1e-9).select("a", "b"), "may")
+        found = table(found.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "may")
         drop(ids)
         drop(counts)
         return found

@@ -1,7 +1,9 @@
-"""The fingerprints' part in near-dedup."""
+"""The fingerprints' part in near-dedup, and the bound that long texts get."""
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from maskwright.llm import similar, simhash
 
@@ -36,6 +38,25 @@ def test_close_pairs_connect_what_three_bits_connect(spark):
     assert parts((r.a, r.b) for r in got) == want and len(set(want)) < len(rows)
 
 
+def test_long_texts_that_share_little_are_not_neighbours(spark):
+    """Before, 256 segments of some thirty shingles let any two such texts pass."""
+    rng = random.Random(9)
+    shared, long = words(rng, 40), words(rng, 7000).split()
+    near = " ".join(w if i % 100 else "changed" for i, w in enumerate(long))
+    rows = [(1, shared + " " + " ".join(long)), (2, shared + " " + words(rng, 7000)), (3, shared + " " + near), (4, " ".join(long[:6600]))]
+    verify = similar._Verify(spark.createDataFrame([(i, t.encode()) for i, t in rows], "id long, text binary"), 5, 0.8)
+    pairs = similar.table(spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4)], "a long, b long"), "pairs")
+    assert {tuple(r) for r in verify.may(pairs).collect()} == {(1, 3), (1, 4)}
+
+
+def test_distance_is_a_lower_bound_across_resolutions():
+    rng = np.random.default_rng(3)
+    for n in (1, 200, 1023, 1024, 5000, 40_000):
+        every = rng.integers(0, 2**64, n + n // 9, dtype=np.uint64)
+        for a, b in ((every[:n], every), (every[:n], every[n // 9 :]), (every, every), (every[:n] >> np.uint64(9), every >> np.uint64(9))):
+            assert similar.distance(similar.segment_counts(a), similar.segment_counts(b)) <= len(np.setxor1d(a, b))
+
+
 def test_similar_pairs_of_several_lengths(spark):
     rng = random.Random(11)
     rows = copies(rng)
