@@ -8,7 +8,7 @@ fewer than `least` occurrences holds no phrase to report and is abandoned, which
 
 Before they are routed, suffixes go whose leading words can't be frequent: words are counted first, then pairs of
 frequent words; both sets are known to the tasks as bitmaps of fixed size (4 and 8 MB, whatever the corpus), whose chance hits cost
-work and change no count. Equal suffixes of a task travel as one with their number. A pair that comes up more than
+work and change no count. Equal suffixes of a task travel as one with their number, those of a bucket of leading pairs as one block. A pair that comes up more than
 `HOT` times, and over 1/50,000 of all words, is dealt out by its whole suffixes; their counts are then sums over tasks.
 
 Defined results: see `mine` for the rules. Null and empty texts have no words, a null language is `und`; texts of any length count whole, and
@@ -35,8 +35,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 HOT = 2**18
 #: Bits of the bitmaps of frequent words and pairs.
 WORD_BITS, PAIR_BITS = 25, 26
-#: Text a task works on at a time, in bytes; suffixes it sorts at a time.
-CHUNK, SORTED = 32_000_000, 1_000_000
+#: Text a task works on at a time, in bytes; occurrences of suffixes in a bucket, which is sorted at a time.
+CHUNK, SORTED = 32_000_000, 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: What ends a piece, and what ends a word.
@@ -148,9 +148,10 @@ def count_pairs(texts: DataFrame, frequent: np.ndarray, least: int) -> DataFrame
     return table(texts.mapInArrow(_each(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pairs")
 
 
-def suffixes(texts: DataFrame, frequent: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
-    """lang, key, suffix, n: the suffixes that begin with a frequent pair, as far as their pairs are frequent; equal ones of a task once."""
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, pairs))
+def suffixes(texts: DataFrame, frequent: np.ndarray, pairs: np.ndarray, hot: np.ndarray, longest: int, buckets: int) -> DataFrame:
+    """lang, bucket, dealt, block, n: the suffixes that begin with a frequent pair, as far as their pairs are frequent; equal ones of a task once. Those of a bucket
+    travel as one block, a suffix a line, and n has how often each comes up. hot: keys of pairs, sorted, whose suffixes go to buckets one by one."""
+    shared = texts.sparkSession.sparkContext.broadcast((frequent, pairs, hot))
 
     def run(words: Words) -> pa.RecordBatch:
         often, keys = _in(shared.value[0], words.word_keys()), words.pair_keys()
@@ -173,9 +174,20 @@ def suffixes(texts: DataFrame, frequent: np.ndarray, pairs: np.ndarray, longest:
             used += int(there.sum())
             out.append(spelt.take(pa.array(of, mask=~there)))
         joined = pc.binary_join_element_wise(*out, pa.scalar(b" ", pa.binary()), null_handling="skip") if len(at) else pa.array([], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([words.lang] * len(at), pa.string()), pa.array(keys[at].view(np.int64)), joined, pa.array(n)], ["lang", "key", "suffix", "n"])
-
-    return texts.mapInArrow(_each(run), "lang string, key long, suffix binary, n long")
+        key, mark = keys[at], mark[first]
+        spot = np.minimum(np.searchsorted(shared.value[2], key.view(np.int64)), max(0, len(shared.value[2]) - 1))
+        dealt = shared.value[2][spot] == key.view(np.int64) if len(shared.value[2]) else np.zeros(len(at), bool)
+        bucket = (mix(np.where(dealt, mark, key)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((dealt, bucket))
+        bucket, dealt, n, joined = bucket[order], dealt[order], n[order].astype(np.int64), joined.take(pa.array(order))
+        starts = np.flatnonzero(np.diff(2 * bucket + dealt, prepend=-1))
+        bounds = np.append(starts, len(order))
+        lines = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), joined)
+        sizes = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(n)])
+        cols = [pa.array([words.lang] * len(starts), pa.string()), pa.array(bucket[starts]), pa.array(dealt[starts]), pc.binary_join(lines, pa.scalar(b"\n", pa.binary())), sizes]
+        return pa.RecordBatch.from_arrays(cols, ["lang", "bucket", "dealt", "block", "n"])
+
+    return texts.mapInArrow(_each(run), "lang string, bucket long, dealt boolean, block binary, n binary")
 
 
 def frequent_prefixes(letters: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -211,7 +223,7 @@ def frequent_prefixes(letters: np.ndarray, n: np.ndarray, least: int) -> Iterato
 
 
 def _sort(longest: int, least: int) -> Callable:
-    """lang, phrase, n: the frequent phrases of the suffixes (lang, route, suffix, n, dealt) of a task, which come by route. Of suffixes
+    """lang, phrase, n: the frequent phrases of the blocks of suffixes (lang, bucket, dealt, block, n) of a task, which come by bucket. Of suffixes
     that are dealt out, all phrases with what they count here."""
 
     def letters(suffix: pa.Array) -> tuple[np.ndarray, list[bytes]]:
@@ -222,33 +234,22 @@ def _sort(longest: int, least: int) -> Callable:
         out[np.arange(longest) < size[:, None]] = words.indices.to_numpy(zero_copy_only=False)
         return out, words.dictionary.to_pylist()
 
-    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        for lang in pc.unique(rows.column("lang")).to_pylist():
-            for dealt in (False, True):
-                own = rows.filter(pc.and_(pc.equal(rows.column("lang"), lang), pc.equal(rows.column("dealt"), dealt)))
-                if own.num_rows:
-                    found, words = letters(own.column("suffix").combine_chunks())
-                    out = [(b" ".join(words[x] for x in found[i, :k]), c) for i, k, c in frequent_prefixes(found, own.column("n").to_numpy(), 1 if dealt else least)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.int64())], ["lang", "phrase", "n"])
+    def settle(blocks: dict[tuple[str, bool], list[tuple[bytes, bytes]]]) -> Iterator[pa.RecordBatch]:
+        for (lang, dealt), own in blocks.items():
+            found, words = letters(pa.array(b"\n".join(x for x, _ in own).split(b"\n"), pa.binary()))
+            n = np.frombuffer(b"".join(x for _, x in own), np.int64)
+            out = [(b" ".join(words[x] for x in found[i, :k]), c) for i, k, c in frequent_prefixes(found, n, 1 if dealt else least)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.int64())], ["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
+        now, kept = None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if size > SORTED:  # up to the last route, whose suffixes may go on
-                route = batch.column(1).to_numpy()
-                last = kept[-1].column(1)[-1].as_py()
-                cut = int(np.searchsorted(route, last, side="right"))
-                kept.append(batch.slice(0, cut))
-                batch = batch.slice(cut)
-                if batch.num_rows:
-                    yield from settle(pa.Table.from_batches(kept))
-                    kept, size = [], 0
-            kept.append(batch)
-            size += batch.num_rows
-        if kept:
-            yield from settle(pa.Table.from_batches(kept))
+            for lang, bucket, dealt, block, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from settle(kept)
+                    now, kept = bucket, {}
+                kept.setdefault((lang, dealt), []).append((block, n))
+        yield from settle(kept)
 
     return run
 
@@ -263,11 +264,10 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     frequent = _bitmap(words.where("word is not null"), WORD_BITS)
     pairs = count_pairs(texts, frequent, least)
     most = max(HOT, (words.where("word is null").agg(F.sum("n")).first()[0] or 0) // 50_000)
-    hot = pairs.where(F.col("n") > most).select("key", F.lit(True).alias("hot"))  # fewer than 50,000 rows
-    found = suffixes(texts, frequent, _bitmap(pairs, PAIR_BITS), longest).join(F.broadcast(hot), "key", "left")
-    dealt = F.coalesce("hot", F.lit(False))
-    found = found.select("lang", F.when(dealt, F.xxhash64("suffix")).otherwise(F.col("key")).alias("route"), "suffix", "n", dealt.alias("dealt"))
-    found = found.repartition("route").sortWithinPartitions("route").mapInArrow(_sort(longest, least), "lang string, phrase binary, n long")
+    hot = np.sort(pairs.where(F.col("n") > most).select("key").toArrow().column("key").to_numpy())  # fewer than 50,000
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (pairs.agg(F.sum("n")).first()[0] or 0) // SORTED)
+    found = suffixes(texts, frequent, _bitmap(pairs, PAIR_BITS), hot, longest, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    found = found.mapInArrow(_sort(longest, least), "lang string, phrase binary, n long")
     found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     out = table(found.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     drop(pairs)
