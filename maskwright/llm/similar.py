@@ -7,14 +7,16 @@ With all shingles in one order, two texts that overlap in o of their n and m
 shingles share one of the first n - o + 1 and m - o + 1. The larger text asks with the n - ceil(t n) + 1
 that any partner needs, the smaller one offers no more than partners of its own size or above need; so
 a shingle that many texts share but none of them early enough brings no pair together. The order puts
-shingles that are common in a sample of the texts last; any order gives the same pairs. Of the texts
+shingles last that are common in a sample of the texts, or at which many texts would meet by the sample alone; any order gives the same pairs. Shingles at which
+the same texts meet count as one. Of the texts
 that meet at a shingle, bounds rule pairs out: sizes, the places of the shingle in both, and the Manhattan
 distance of their counts of shingles by segment, which is at most the number of shingles that only one
 of the two has. Long texts have more segments. What is left is settled by both sets.
 
 So that a large group of copies costs no pair for each two of its members, every text is first compared
 with one of those at each shingle, drawn anew in each of three rounds. Where the bounds leave such a pair, both are of one neighbourhood; at shingles where several neighbourhoods
-still meet, texts of different ones are compared too, and what the bounds leave joins these. Every similar pair then lies within a neighbourhood. The pairs that
+still meet, texts of different ones are compared too, and what the bounds leave joins these. There the join itself takes a bound, so that texts that only share a
+passage make no rows: segments that hold an odd number of one text's shingles and an even one of the other's hold one that only one has. Every similar pair then lies within a neighbourhood. The pairs that
 the bounds left are settled by both sets, and what that hasn't joined within a neighbourhood block by block (`setsketch.within`): a
 neighbourhood of texts just below the threshold costs work in the square of its size, but no rows. Components over the links so found equal those over all.
 
@@ -43,12 +45,16 @@ from .simhash import close_pairs
 SIZE, SIMILARITY = 5, 0.8
 #: Documents whose shingles are counted for the order, and common shingles that are broadcast (2 MB).
 SAMPLE, COMMON = 10_000, 2**17
+#: Texts that meet at a shingle from which it counts as common.
+MANY = 8
 #: Shingles a task counts at a time.
 CHUNK = 2_000_000
 #: Rounds of drawn heads.
 ROUNDS = 3
 #: Segments (by a hash's leading bits) whose shingles are counted for the lower bound, at least; up to this many are counted in one.
 SEGMENTS, CLIP = 256, 127
+#: Numbers of 64 bits that say which of as many segments as they have bits hold an odd number of shingles; so many more for texts of over FAR shingles.
+ODD, MORE, FAR = [f"odd{i}" for i in range(16)], 128, 1024
 
 
 def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -72,6 +78,13 @@ def distance(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.abs(x - y).sum())
 
 
+def odd_segments(hashes: np.ndarray, words: int = len(ODD)) -> np.ndarray:
+    """Whether each of 64 * words segments holds an odd number of hashes, as bits. At most as many bits of two texts differ as hashes are in only one."""
+    bits = (64 * words).bit_length() - 1
+    found = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.packbits((found & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that come up often in a sample of rows (id, text), sorted, and how often."""
 
@@ -92,16 +105,33 @@ def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     by = max(1, rows.count() // SAMPLE)
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(by)) == 0).select("text")
     counts = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("count")).where("count > 2")
+    return _top(counts.withColumn("count", F.col("count") * by))
+
+
+def _top(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The COMMON most frequent of (key, count), sorted by key."""
     top = counts.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()  # `COMMON` rows
     key, n = top.column("key").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(key)
     return key[order], n[order]
 
 
-def prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """key, id, n, at, offer: each text's first shingles, its number of shingles, the place of
+def _order(rows: DataFrame, size: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Common hashes and how often they come up: those of the sample, and those at which many texts meet in the order that the sample alone gives, by
+    exact count. The sample's share falls as the texts grow in number, so what it misses would bring ever more texts together."""
+    key, n = _common(rows, size)
+    met = prefixes(rows, size, similarity, (key, n)).groupBy("key").agg(F.count("*").alias("count"), F.max("offer").alias("offers"))
+    more, m = _top(met.where(f"offers and count >= {MANY}").select("key", "count"))
+    new = ~np.isin(more, key)
+    key, n = np.concatenate((key, more[new])), np.concatenate((n, m[new]))
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def prefixes(rows: DataFrame, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, id, n, at, offer: each text's first shingles, those of `common` (hashes, sorted, and counts) last, its number of shingles, the place of
     this one and whether texts of this size or larger may need it; dealt by key. The exchange carries n and at as one number and nothing else."""
-    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, size))
+    shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, count = shared.value
@@ -166,6 +196,22 @@ class _Verify:
         drop(counts)
         return found
 
+    def odd(self, asked: DataFrame) -> DataFrame:
+        """id, ODD, far (MORE numbers of texts of over FAR shingles) of the ids in a written table, as a table."""
+        size = self.size
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [shingles(x.as_py() or b"", size) for x in batch.column(1)]
+                found = np.array([odd_segments(x) for x in sets], np.int64).reshape(-1, len(ODD))
+                far = pa.array([odd_segments(x, MORE) if len(x) > FAR else None for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in found.T], far], ["id", *ODD, "far"])
+
+        ids = table(asked.select("id").distinct(), "ids")
+        out = table(self._texts(ids).mapInArrow(count, ", ".join(f"{c} long" for c in ("id", *ODD)) + ", far array<long>"), "odd")
+        drop(ids)
+        return out
+
     def sets(self, asked: DataFrame) -> DataFrame:
         """node, s of the ids asked for (node), as a table."""
         size = self.size
@@ -198,8 +244,9 @@ def groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = SIZ
     verify = _Verify(rows, size, similarity)
     close = close_pairs(rows, "id", "text", size)
     sure = verify.similar(close)
-    met = prefixes(rows, size, similarity).withColumns({"c": F.count("*").over(by_key), "offers": F.max("offer").over(by_key)})
-    met = table(met.where("c > 1 and offers").drop("c", "offers"), "met")
+    met = prefixes(rows, size, similarity, _order(rows, size, similarity)).withColumns({"c": F.count("*").over(by_key), "offers": F.max("offer").over(by_key), "who": F.bit_xor(F.xxhash64("id")).over(by_key)})
+    met = met.where("c > 1 and offers").groupBy(F.xxhash64("who", "c").alias("key"), "id")  # shingles at which the same texts meet are one
+    met = table(met.agg(F.first("n").alias("n"), F.min("at").alias("at"), F.max("offer").alias("offer")), "met")
     around = table(components(sure), "around")
     left, near = table(met.join(around, "id", "left").withColumn("around", F.coalesce("component_id", "id")).drop("component_id"), "left"), sure
     for k in range(ROUNDS):  # heads drawn by hash, of the keys at which neighbourhoods still meet
@@ -212,8 +259,13 @@ def groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = SIZ
         now = left.drop("around").join(around, "id", "left").withColumn("around", F.coalesce("component_id", "id")).drop("component_id")
         several = table(now.groupBy("key").agg(F.min("around").alias("lo"), F.max("around").alias("hi")).where("lo <> hi").select("key"), "several")
         left = table(now.join(several, "key"), "left")
-    l, r = left.alias("l"), left.alias("r")
-    pairs = l.join(r, F.expr("l.key = r.key and l.offer and (l.n < r.n or l.n = r.n and r.offer and l.id < r.id) and l.around <> r.around") & _may("l", "r", similarity))
+    odd = verify.odd(left)
+    asked = table(left.join(odd, "id"), "asked")  # the bound stands in the join, so that pairs that merely meet make no rows
+    l, r = asked.alias("l"), asked.alias("r")
+    most, apart = f"{(1 - similarity) / (1 + similarity)}D * (l.n + r.n) + 1e-9D", " + ".join(f"bit_count(l.{c} ^ r.{c})" for c in ODD)
+    far = "aggregate(zip_with(l.far, r.far, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    meet = F.expr("l.key = r.key and l.offer and (l.n < r.n or l.n = r.n and r.offer and l.id < r.id) and l.around <> r.around") & _may("l", "r", similarity)
+    pairs = l.join(r, meet & F.expr(f"{apart} <= {most} and coalesce({far} <= {most}, true)"))
     pairs = table(pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "pairs")
     near = table(near.union(verify.may(pairs)), "near")
     around = table(components(near), "around")
@@ -222,6 +274,6 @@ def groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = SIZ
     sizes = table(met.select(F.col("id").alias("node"), "n").distinct(), "sizes")
     more = within(around, part, sizes, verify.sets, round(similarity * 1000), 1000)
     out = table(components(links.union(more)), "part")
-    for x in (close, sure, met, near, left, pairs, around, links, part, sizes, more):
+    for x in (close, sure, met, near, left, odd, asked, pairs, around, links, part, sizes, more):
         drop(x)
     return out
