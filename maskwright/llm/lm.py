@@ -27,8 +27,9 @@ equally likely; rows that repeat an id or text give a row each; an empty table g
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,38 +65,36 @@ def pieces(text: bytes | None) -> Iterator[tuple[list[bytes], int]]:
     yield [*last, *text[i:].lower().split(), END], len(last)
 
 
-class Slots(dict):
+class Slots(defaultdict):
     """Token to slot number: the head's tokens first, then others as they come."""
 
     def __init__(self, head: list[bytes] = ()) -> None:  # type: ignore[assignment]
-        super().__init__()
-        from xxhash import xxh64_intdigest
-
-        self.of, self.names, self.new = xxh64_intdigest, [], []
+        super().__init__(count().__next__)
+        self.names: list[bytes] = []
         self.known = np.zeros(0, np.uint64)
         for token in head:
             self[token]
+        self.hashes()
         self.head = len(self.names)
 
     def hashes(self) -> np.ndarray:
-        """By slot. Only those new since the last call are converted."""
-        if self.new:
-            self.known = np.concatenate((self.known, np.array(self.new, np.uint64)))
-            self.new = []
-        return self.known
+        """By slot. Only those new since the last call are converted and named."""
+        from xxhash import xxh64_intdigest
 
-    def __missing__(self, token: bytes) -> int:
-        at = self[token] = len(self.names)
-        self.names.append(token)
-        self.new.append(self.of(token, SEED))
-        return at
+        if len(self) > len(self.names):
+            new = list(islice(self, len(self.names), None))  # a dictionary keeps the order
+            self.names += new
+            self.known = np.concatenate((self.known, np.fromiter(map(xxh64_intdigest, new, repeat(SEED)), np.uint64, len(new))))
+        return self.known
 
     def trim(self) -> None:
+        """After hashes()."""
         if len(self.names) - self.head > MEMO:
             for token in self.names[self.head :]:
                 del self[token]
             del self.names[self.head :]
-            self.known = self.hashes()[: self.head]
+            self.known = self.known[: self.head]
+            self.default_factory = count(self.head).__next__
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]], np.ndarray]]:
@@ -209,8 +208,14 @@ def contexts(ids: np.ndarray, h: np.ndarray, first: np.ndarray, common: int) ->
 
 def rows_of(context: list[np.ndarray], owner: np.ndarray, node: np.ndarray, bits: int) -> list[np.ndarray]:
     """The hashed features' rows at each step."""
-    place = node.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-    return [(((c[owner] ^ place) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - bits)).astype(np.int32) for c in context]
+    place, out = node.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD), []
+    for c in context:
+        x = c.take(owner)
+        x ^= place
+        x *= np.uint64(0x9FB21C651E98DF25)
+        x >>= np.uint64(64 - bits)
+        out.append(x.astype(np.int32))
+    return out
 
 
 def masses(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,17 +237,33 @@ def log_p(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.n
 def step(bias: np.ndarray, weights: np.ndarray, square: np.ndarray, seen: np.ndarray, node: np.ndarray, at: list[np.ndarray], way: np.ndarray) -> None:
     """One AdaGrad step on a mini-batch, in place."""
     g, total = masses(bias, weights, node, at)
+    n = len(way)
     g /= total[:, None]
-    g[np.arange(len(way)), way] -= 1
+    g[np.arange(n), way] -= 1
     size = np.einsum("ij,ij->i", g, g)
-    n = len(way)
-    key = np.sort(np.concatenate([f.astype(np.int64) << 32 | np.arange(k * n, k * n + n) for k, f in enumerate(at)]))
-    row, which = key >> 32, (key & 0xFFFFFFFF) % n
+    key = np.concatenate(at).astype(np.int64)
+    key <<= 32
+    key |= np.arange(len(key))
+    key.sort()
+    row, which = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+    which %= n
     starts = np.flatnonzero(np.diff(row, prepend=-1))
-    row = row[starts]
-    seen[row] += np.diff(starts, append=len(key))
-    square[row] += np.add.reduceat(size[which], starts)
-    weights[row] -= np.add.reduceat(g.take(which, axis=0), starts, axis=0) * (RATE / np.sqrt(square[row] + 1e-2))[:, None]
+    row, length = row[starts], np.diff(starts, append=len(key))
+    seen[row] += length
+    sums = square.take(row)
+    sums += np.add.reduceat(size.take(which), starts)
+    square[row] = sums
+    # Most rows come up once, so their change is there; only the others are added up.
+    change, many = g.take(which.take(starts), axis=0), np.flatnonzero(length > 1)
+    if len(many):
+        ends = np.cumsum(length[many])
+        first = ends - length[many]
+        runs = np.repeat(starts[many] - first, length[many]) + np.arange(ends[-1])
+        change[many] = np.add.reduceat(g.take(which.take(runs), axis=0), first, axis=0)
+    change *= (RATE / np.sqrt(sums + 1e-2))[:, None]
+    now = weights.take(row, axis=0)
+    now -= change
+    weights[row] = now
 
 
 def _rows(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
@@ -274,9 +295,9 @@ def count_tokens(rows: DataFrame) -> DataFrame:
 
 def _batch(slots: Slots, tree: Tree, texts: list[list[bytes]], skips: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """Of the tokens that aren't context: number, hash, text; and the owner, node, way and rows of all steps."""
-    ids = np.array([slots[x] for words in texts for x in words], np.int64)
-    h = slots.hashes()[ids]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ids = np.fromiter(map(slots.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
+    h = slots.hashes()[ids]
     first = np.cumsum(lengths) - lengths
     doc = np.repeat(np.arange(len(texts)), lengths)
     use = np.arange(len(ids)) - first[doc] >= skips[doc]
