@@ -18,7 +18,7 @@ or cores. The number of hashed features grows with the tokens, up to 2^MOST_BITS
 
 Token counts cover all training tokens. The head is broadcast, a fixed bound; texts' other tokens meet their counts
 in a shuffle join. A worker works on about CHUNK tokens at a time, long texts in pieces of PIECE bytes that keep
-their context, so memory depends on neither texts nor vocabulary.
+their context, so memory depends on neither texts nor vocabulary. Tokens of a chunk are an Arrow array, of which only the distinct ones become objects in Python.
 
 Defined results: a null or blank text is its end token alone; rows on which the condition is null
 are not learned from; with no training rows all tokens have base probability one and the groups of unknown ones are
@@ -30,9 +30,11 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, count, islice, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ RATE, BATCH, CHUNK, PIECE, SEED = 0.15, 32_768, 200_000, 1_000_000, 42
 END = b""
 #: Hash levels below the leaf that tokens outside the head share.
 TAIL = 1
+#: Rows that come up at most so often in a mini-batch are added up all together.
+FEW = 8
 #: Tokens of the piece before that a piece keeps as context.
 BACK = 200
 #: Distinct tokens of which a worker keeps hashes, and counts before it hands them on.
@@ -65,6 +69,10 @@ def pieces(text: bytes | None) -> Iterator[tuple[list[bytes], int]]:
     yield [*last, *text[i:].lower().split(), END], len(last)
 
 
+def listed(tokens: pa.Array) -> list[bytes]:
+    return tokens.to_numpy(zero_copy_only=False).tolist()
+
+
 class Slots(defaultdict):
     """Token to slot number: the head's tokens first, then others as they come."""
 
@@ -76,6 +84,23 @@ class Slots(defaultdict):
             self[token]
         self.hashes()
         self.head = len(self.names)
+        self.order = np.argsort(self.known)
+        self.sorted, self.tokens = self.known[self.order], pa.array(self.names, pa.binary())
+
+    def number(self, tokens: pa.Array) -> np.ndarray:
+        """Slots of distinct tokens. The head's are found by hash, in order, and compared; only others are looked up one by one."""
+        from xxhash import xxh64_intdigest
+
+        names = listed(tokens)
+        if not self.head:
+            return np.fromiter(map(self.__getitem__, names), np.int64, len(names))
+        h = np.fromiter(map(xxh64_intdigest, names, repeat(SEED)), np.uint64, len(names))
+        order, place = np.argsort(h), np.empty(len(h), np.int64)
+        place[order] = np.searchsorted(self.sorted, h.take(order))
+        ids = self.order.take(np.minimum(place, self.head - 1))
+        other = np.flatnonzero(~pc.equal(self.tokens.take(pa.array(ids)), tokens).to_numpy(zero_copy_only=False))
+        ids[other] = [self[names[i]] for i in other.tolist()]
+        return ids
 
     def hashes(self) -> np.ndarray:
         """By slot. Only those new since the last call are converted and named."""
@@ -97,22 +122,60 @@ class Slots(defaultdict):
             self.default_factory = count(self.head).__next__
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]], np.ndarray]]:
+class Words(NamedTuple):
+    """Tokens of texts one after another: how many each text has, each token's place among `names`, and the distinct ones."""
+
+    lengths: np.ndarray
+    code: np.ndarray
+    names: pa.Array
+
+
+def coded(tokens: pa.Array, lengths: np.ndarray) -> Words:
+    found = tokens.dictionary_encode()
+    return Words(lengths, found.indices.to_numpy(), found.dictionary)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of whole texts one after another, and how many each text has, as by pieces(), without an object for each token."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    text = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(text, "", " "))  # what stands after the last blank is END
+    found = pc.ascii_split_whitespace(text)
+    return found.flatten().view(pa.binary()), pc.list_value_length(found).to_numpy()
+
+
+def read(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """Rows of the texts' pieces in order, their tokens, how many each has and how many of these are context."""
+    texts = texts.cast(pa.binary())
+    long = np.flatnonzero(pc.fill_null(pc.binary_length(texts), 0).to_numpy() > PIECE).tolist()
+    for a, b in zip([-1, *long], [*long, len(texts)], strict=True):
+        if b > a + 1:
+            tokens, lengths = split(texts.slice(a + 1, b - a - 1))
+            yield np.arange(a + 1, b), tokens, lengths, np.zeros(len(lengths), np.int64)
+        if b < len(texts):
+            for found, skip in pieces(texts[b].as_py()):
+                yield np.array([b]), pa.array(found, pa.binary()), np.array([len(found)]), np.array([skip])
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Words, np.ndarray]]:
     """Rows, without their text, their tokens and how many of these are context, about CHUNK tokens at a time."""
-    rows, texts, skips, n = [], [], [], 0
+    rows, tokens, lengths, skips, n = [], [], [], [], 0
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns[1:]]
-        for i, text in enumerate(batch.column(0)):
-            for found, skip in pieces(text.as_py()):
-                rows.append([c[i] for c in columns])
-                texts.append(found)
-                skips.append(skip)
-                n += len(found)
+        for at, found, sizes, skip in read(batch.column(0)):
+            i, ends = 0, np.cumsum(sizes)
+            while i < len(sizes):
+                start = int(ends[i] - sizes[i])
+                j = min(len(sizes), int(np.searchsorted(ends, start + CHUNK - n)) + 1)
+                rows += [[c[k] for c in columns] for k in at[i:j].tolist()]
+                tokens.append(found.slice(start, int(ends[j - 1]) - start))
+                lengths.append(sizes[i:j])
+                skips.append(skip[i:j])
+                i, n = j, n + len(tokens[-1])
                 if n >= CHUNK:
-                    yield rows, texts, np.array(skips)
-                    rows, texts, skips, n = [], [], [], 0
+                    yield rows, coded(pa.concat_arrays(tokens), np.concatenate(lengths)), np.concatenate(skips)
+                    rows, tokens, lengths, skips, n = [], [], [], [], 0
     if rows:
-        yield rows, texts, np.array(skips)
+        yield rows, coded(pa.concat_arrays(tokens), np.concatenate(lengths)), np.concatenate(skips)
 
 
 class Tree:
@@ -225,7 +288,7 @@ def masses(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.
     for f in at:
         z += weights.take(f, axis=0)
     np.exp(z, out=z)
-    return z, z.sum(axis=1)  # a matrix product's rounding would depend on the batch
+    return z, np.einsum("ij->i", z)  # each row by itself: a matrix product's rounding would depend on the batch
 
 
 def log_p(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.ndarray], way: np.ndarray) -> np.ndarray:
@@ -235,35 +298,52 @@ def log_p(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, at: list[np.n
 
 
 def step(bias: np.ndarray, weights: np.ndarray, square: np.ndarray, seen: np.ndarray, node: np.ndarray, at: list[np.ndarray], way: np.ndarray) -> None:
-    """One AdaGrad step on a mini-batch, in place."""
-    g, total = masses(bias, weights, node, at)
-    n = len(way)
+    """One AdaGrad step on a mini-batch, in place. Each row is read and written once, in order."""
+    n, bits = len(way), len(way).bit_length()
+    key = np.stack(at).astype(np.int64)
+    key <<= 32
+    key |= (np.arange(len(at)) << bits)[:, None] + np.arange(n)
+    key = np.sort(key, axis=None)
+    row, which = key >> 32, key & 0xFFFFFFFF
+    begins = np.diff(row, prepend=-1) != 0
+    starts = np.flatnonzero(begins)
+    row, length = row.take(starts), np.diff(starts, append=len(key))
+    place = np.empty(len(at) << bits, np.int64)  # of each feature of each step, among the rows
+    place[which] = np.cumsum(begins) - 1
+    which &= (1 << bits) - 1
+    now = weights.take(row, axis=0)
+    g, total = masses(bias, now, node, [x[:n] for x in place.reshape(len(at), -1)])
     g /= total[:, None]
     g[np.arange(n), way] -= 1
     size = np.einsum("ij,ij->i", g, g)
-    key = np.concatenate(at).astype(np.int64)
-    key <<= 32
-    key |= np.arange(len(key))
-    key.sort()
-    row, which = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
-    which %= n
-    starts = np.flatnonzero(np.diff(row, prepend=-1))
-    row, length = row[starts], np.diff(starts, append=len(key))
-    seen[row] += length
-    sums = square.take(row)
-    sums += np.add.reduceat(size.take(which), starts)
-    square[row] = sums
     # Most rows come up once, so their change is there; only the others are added up.
-    change, many = g.take(which.take(starts), axis=0), np.flatnonzero(length > 1)
-    if len(many):
-        ends = np.cumsum(length[many])
-        first = ends - length[many]
-        runs = np.repeat(starts[many] - first, length[many]) + np.arange(ends[-1])
-        change[many] = np.add.reduceat(g.take(which.take(runs), axis=0), first, axis=0)
+    one = which.take(starts)
+    change, sums, many = g.take(one, axis=0), size.take(one), np.flatnonzero(length > 1)
+    many = many[np.argsort(-length[many], kind="stable")]
+    first, times = starts[many], length[many]
+    k = int(np.searchsorted(-times, -FEW))
+    if k:
+        ends = np.cumsum(times[:k])
+        begin = ends - times[:k]
+        x = which.take(np.repeat(first[:k] - begin, times[:k]) + np.arange(ends[-1]))
+        change[many[:k]] = np.add.reduceat(g.take(x, axis=0), begin, axis=0)
+        sums[many[:k]] = np.add.reduceat(size.take(x), begin)
+    first, times, many = first[k:], times[k:], many[k:]
+    x = which.take(first + 1)
+    more, mores = g.take(x, axis=0), size.take(x)
+    for k in range(2, FEW):
+        x = which.take(first[: np.searchsorted(-times, -k)] + k)
+        more[: len(x)] += g.take(x, axis=0)
+        mores[: len(x)] += size.take(x)
+    change[many] += more
+    sums[many] += mores
+    seen[row] = seen.take(row) + length
+    sums += square.take(row)
+    square[row] = sums
     change *= (RATE / np.sqrt(sums + 1e-2))[:, None]
-    now = weights.take(row, axis=0)
     now -= change
-    weights[row] = now
+    whole = f"V{weights.itemsize * WAYS}"  # a row in one piece
+    weights.view(whole)[:, 0][row] = now.view(whole)[:, 0]
 
 
 def _rows(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
@@ -284,8 +364,10 @@ def count_tokens(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64())], ["token", "n"])
 
         for _, texts, skips in chunks(batches):
-            for words, skip in zip(texts, skips.tolist(), strict=True):
-                found.update(words[skip:])
+            times = np.bincount(texts.code[counted(texts.lengths, skips)], minlength=len(texts.names))
+            for token, n in zip(listed(texts.names), times.tolist(), strict=True):
+                if n:
+                    found[token] += n
             if len(found) > FLUSH:
                 yield from flush()
         yield from flush()
@@ -293,16 +375,23 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return table(rows.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")), "tokens")
 
 
-def _batch(slots: Slots, tree: Tree, texts: list[list[bytes]], skips: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+def counted(lengths: np.ndarray, skips: np.ndarray) -> np.ndarray:
+    """Of each token of the texts, whether it is more than context."""
+    first = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) >= np.repeat(first + skips, lengths)
+
+
+def _batch(slots: Slots, tree: Tree, texts: Words | list[list[bytes]], skips: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """Of the tokens that aren't context: number, hash, text; and the owner, node, way and rows of all steps."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ids = np.fromiter(map(slots.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
+    if not isinstance(texts, Words):
+        texts = coded(pa.array(chain.from_iterable(texts), pa.binary()), np.fromiter(map(len, texts), np.int64, len(texts)))
+    lengths = texts.lengths
+    ids = slots.number(texts.names)[texts.code]
     h = slots.hashes()[ids]
-    first = np.cumsum(lengths) - lengths
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    use = np.arange(len(ids)) - first[doc] >= skips[doc]
-    context = [c[use] for c in contexts(ids, h, first[doc], min(COMMON, slots.head))]
-    ids, h, doc = ids[use], h[use], doc[use]
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    context, use = contexts(ids, h, (np.cumsum(lengths) - lengths)[doc], min(COMMON, slots.head)), counted(lengths, skips)
+    if not use.all():
+        context, ids, h, doc = [c[use] for c in context], ids[use], h[use], doc[use]
     owner, node, way = tree.steps(ids, h)
     return ids, h, doc, owner, node, way, rows_of(context, owner, node, bits)
 
@@ -328,13 +417,15 @@ def train_pass(rows: DataFrame, head: list[bytes], tree: Tree, weights: np.ndarr
 
         for rows, texts, skips in chunks(batches):
             parts = np.array([r[0] for r in rows])
+            ends = np.cumsum(texts.lengths)
             for p in np.unique(parts).tolist():  # rows come in order of their parts
                 if p != part:
                     if state is not None:
                         yield from out()
                     part, state = p, (start.copy(), np.zeros(n, np.float32), np.zeros(n, np.float32))
-                own = np.flatnonzero(parts == p)
-                _, _, _, owner, node, way, at = _batch(slots, tree, [texts[i] for i in own], skips[own], bits)
+                a, b = np.flatnonzero(parts == p)[[0, -1]].tolist()
+                part_of = Words(texts.lengths[a : b + 1], texts.code[ends[a] - texts.lengths[a] : ends[b]], texts.names)
+                _, _, _, owner, node, way, at = _batch(slots, tree, part_of, skips[a : b + 1], bits)
                 for i in range(0, len(way), BATCH):
                     step(tree.bias, *state, node[i : i + BATCH], [f[i : i + BATCH] for f in at], way[i : i + BATCH])
                 slots.trim()
@@ -413,11 +504,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             for i in range(0, len(way), BATCH):
                 got[i : i + BATCH] = log_p(tree.bias, w, node[i : i + BATCH], [f[i : i + BATCH] for f in at], way[i : i + BATCH])
             sums = np.bincount(owner, got, len(ids)) + tree.rest[np.minimum(ids, slots.head)]
-            scores = np.bincount(doc, sums / np.log(10), len(texts))
+            scores = np.bincount(doc, sums / np.log(10), len(info))
             near = ids < slots.head
-            known = np.bincount(doc[near], minlength=len(texts))
-            n_tokens, base_sum = np.bincount(doc, minlength=len(texts)), np.bincount(doc[near], base[ids[near]], len(texts))
-            none, rid = pa.nulls(len(texts), pa.binary()), np.array([r[0] for r in info], np.int64)
+            known = np.bincount(doc[near], minlength=len(info))
+            n_tokens, base_sum = np.bincount(doc, minlength=len(info)), np.bincount(doc[near], base[ids[near]], len(info))
+            none, rid = pa.nulls(len(info), pa.binary()), np.array([r[0] for r in info], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array([r[1] for r in info], pa.int64()), none, pa.array(n_tokens), pa.array(known), pa.array(base_sum.astype(np.float64)), pa.array(scores)], names)
             pairs, tf = np.unique(doc[~near] * (len(slots.names) + 1) + ids[~near], return_counts=True)
             at_doc, at_id = np.divmod(pairs, len(slots.names) + 1)
