@@ -51,7 +51,7 @@ TAIL = 1
 FEW = 8
 #: Tokens of the piece before that a piece keeps as context.
 BACK = 200
-#: Distinct tokens of which a worker keeps hashes, and counts before it hands them on.
+#: Distinct tokens of which Slots keep hashes, and a worker counts before it hands them on.
 MEMO, FLUSH = 100_000, 200_000
 BLANKS = b" \t\n\v\f\r"
 
@@ -73,8 +73,39 @@ def listed(tokens: pa.Array) -> list[bytes]:
     return tokens.to_numpy(zero_copy_only=False).tolist()
 
 
+def hashes_of(tokens: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, tokens, repeat(SEED)), np.uint64, len(tokens))
+
+
+class Head:
+    """The most frequent tokens, numbered in order. Tokens are found among them by hash and compared, many at once: look-ups in a
+    dictionary would go all over memory."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.head, self.tokens = len(tokens), pa.array(tokens, pa.binary())
+        h = hashes_of(tokens)
+        self.order = np.argsort(h, kind="stable")
+        self.sorted = h[self.order]
+        self.twins = int(np.count_nonzero(self.sorted[1:] == self.sorted[:-1]))
+
+    def number(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and hashes of distinct tokens. Those outside the head follow it, in order, for this call alone."""
+        h = hashes_of(listed(tokens))
+        order, at, ids = np.argsort(h), np.empty(len(h), np.int64), np.full(len(h), -1)
+        place = np.searchsorted(self.sorted, h.take(order))
+        for k in range(self.twins + 1 if self.head else 0):  # with equal hashes in the head, a token may be one of the next
+            at[order] = self.order.take(np.minimum(place + k, self.head - 1))
+            same = pc.equal(self.tokens.take(pa.array(at)), tokens).to_numpy(zero_copy_only=False)
+            ids[same] = at[same]
+        other = np.flatnonzero(ids < 0)
+        ids[other] = self.head + np.arange(len(other))
+        return ids, h
+
+
 class Slots(defaultdict):
-    """Token to slot number: the head's tokens first, then others as they come."""
+    """Token to slot number, one by one: the head's tokens first, then others as they come. A plain counterpart of Head; the operator works with Head."""
 
     def __init__(self, head: list[bytes] = ()) -> None:  # type: ignore[assignment]
         super().__init__(count().__next__)
@@ -84,32 +115,14 @@ class Slots(defaultdict):
             self[token]
         self.hashes()
         self.head = len(self.names)
-        self.order = np.argsort(self.known)
-        self.sorted, self.tokens = self.known[self.order], pa.array(self.names, pa.binary())
-
-    def number(self, tokens: pa.Array) -> np.ndarray:
-        """Slots of distinct tokens. The head's are found by hash, in order, and compared; only others are looked up one by one."""
-        from xxhash import xxh64_intdigest
-
-        names = listed(tokens)
-        if not self.head:
-            return np.fromiter(map(self.__getitem__, names), np.int64, len(names))
-        h = np.fromiter(map(xxh64_intdigest, names, repeat(SEED)), np.uint64, len(names))
-        order, place = np.argsort(h), np.empty(len(h), np.int64)
-        place[order] = np.searchsorted(self.sorted, h.take(order))
-        ids = self.order.take(np.minimum(place, self.head - 1))
-        other = np.flatnonzero(~pc.equal(self.tokens.take(pa.array(ids)), tokens).to_numpy(zero_copy_only=False))
-        ids[other] = [self[names[i]] for i in other.tolist()]
-        return ids
+        self.number = Head(self.names).number
 
     def hashes(self) -> np.ndarray:
         """By slot. Only those new since the last call are converted and named."""
-        from xxhash import xxh64_intdigest
-
         if len(self) > len(self.names):
             new = list(islice(self, len(self.names), None))  # a dictionary keeps the order
             self.names += new
-            self.known = np.concatenate((self.known, np.fromiter(map(xxh64_intdigest, new, repeat(SEED)), np.uint64, len(new))))
+            self.known = np.concatenate((self.known, hashes_of(new)))
         return self.known
 
     def trim(self) -> None:
@@ -381,15 +394,14 @@ def counted(lengths: np.ndarray, skips: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) >= np.repeat(first + skips, lengths)
 
 
-def _batch(slots: Slots, tree: Tree, texts: Words | list[list[bytes]], skips: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+def _batch(head: Head | Slots, tree: Tree, texts: Words | list[list[bytes]], skips: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """Of the tokens that aren't context: number, hash, text; and the owner, node, way and rows of all steps."""
     if not isinstance(texts, Words):
         texts = coded(pa.array(chain.from_iterable(texts), pa.binary()), np.fromiter(map(len, texts), np.int64, len(texts)))
     lengths = texts.lengths
-    ids = slots.number(texts.names)[texts.code]
-    h = slots.hashes()[ids]
+    ids, h = (x.take(texts.code) for x in head.number(texts.names))
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    context, use = contexts(ids, h, (np.cumsum(lengths) - lengths)[doc], min(COMMON, slots.head)), counted(lengths, skips)
+    context, use = contexts(ids, h, (np.cumsum(lengths) - lengths)[doc], min(COMMON, head.head)), counted(lengths, skips)
     if not use.all():
         context, ids, h, doc = [c[use] for c in context], ids[use], h[use], doc[use]
     owner, node, way = tree.steps(ids, h)
@@ -400,12 +412,12 @@ def train_pass(rows: DataFrame, head: list[bytes], tree: Tree, weights: np.ndarr
     """The weights after a pass over rows (text, part, h)."""
     n, bits = len(weights), len(weights).bit_length() - 1
     size = min(SHARD, n)
-    shared = rows.sparkSession.sparkContext.broadcast((head, tree, weights))
+    shared = rows.sparkSession.sparkContext.broadcast((Head(head), tree, weights))
     names = ["shard", "part", "row", "change", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, tree, start = shared.value
-        slots, part, state = Slots(head), None, None
+        part, state = None, None
 
         def out() -> Iterator[pa.RecordBatch]:
             w, _, seen = state
@@ -425,10 +437,9 @@ def train_pass(rows: DataFrame, head: list[bytes], tree: Tree, weights: np.ndarr
                     part, state = p, (start.copy(), np.zeros(n, np.float32), np.zeros(n, np.float32))
                 a, b = np.flatnonzero(parts == p)[[0, -1]].tolist()
                 part_of = Words(texts.lengths[a : b + 1], texts.code[ends[a] - texts.lengths[a] : ends[b]], texts.names)
-                _, _, _, owner, node, way, at = _batch(slots, tree, part_of, skips[a : b + 1], bits)
+                _, _, _, owner, node, way, at = _batch(head, tree, part_of, skips[a : b + 1], bits)
                 for i in range(0, len(way), BATCH):
                     step(tree.bias, *state, node[i : i + BATCH], [f[i : i + BATCH] for f in at], way[i : i + BATCH])
-                slots.trim()
         if state is not None:
             yield from out()
 
@@ -492,30 +503,30 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         for k in range(passes * rounds):
             own = dealt.where(F.pmod(F.xxhash64(F.lit("round"), "h"), F.lit(rounds)) == k % rounds)
             weights = train_pass(own.repartition(parts, "part").sortWithinPartitions("part", "h"), names, tree, weights)
-    model = spark.sparkContext.broadcast((names, c, tree, weights))
+    model = spark.sparkContext.broadcast((Head(names), c, tree, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, c, tree, w = model.value
-        slots, base = Slots(head), np.log10((c + 0.5) / base_of) if len(c) else np.zeros(1)
+        base = np.log10((c + 0.5) / base_of) if len(c) else np.zeros(1)
         names = ["rid", "doc_id", "token", "tf", "n_known", "base", "score"]
         for info, texts, skips in chunks(batches):
-            ids, _, doc, owner, node, way, at = _batch(slots, tree, texts, skips, bits)
+            ids, _, doc, owner, node, way, at = _batch(head, tree, texts, skips, bits)
             got = np.empty(len(way))
             for i in range(0, len(way), BATCH):
                 got[i : i + BATCH] = log_p(tree.bias, w, node[i : i + BATCH], [f[i : i + BATCH] for f in at], way[i : i + BATCH])
-            sums = np.bincount(owner, got, len(ids)) + tree.rest[np.minimum(ids, slots.head)]
+            sums = np.bincount(owner, got, len(ids)) + tree.rest[np.minimum(ids, head.head)]
             scores = np.bincount(doc, sums / np.log(10), len(info))
-            near = ids < slots.head
+            near = ids < head.head
             known = np.bincount(doc[near], minlength=len(info))
             n_tokens, base_sum = np.bincount(doc, minlength=len(info)), np.bincount(doc[near], base[ids[near]], len(info))
             none, rid = pa.nulls(len(info), pa.binary()), np.array([r[0] for r in info], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array([r[1] for r in info], pa.int64()), none, pa.array(n_tokens), pa.array(known), pa.array(base_sum.astype(np.float64)), pa.array(scores)], names)
-            pairs, tf = np.unique(doc[~near] * (len(slots.names) + 1) + ids[~near], return_counts=True)
-            at_doc, at_id = np.divmod(pairs, len(slots.names) + 1)
+            code = texts.code[counted(texts.lengths, skips)]
+            pairs, tf = np.unique(doc[~near] * len(texts.names) + code[~near], return_counts=True)
+            at_doc, at_code = np.divmod(pairs, len(texts.names))
             m = len(pairs)
             zero = np.zeros(m)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[at_doc]), pa.nulls(m, pa.int64()), pa.array([slots.names[i] for i in at_id.tolist()], pa.binary()), pa.array(tf.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names)
-            slots.trim()
+            yield pa.RecordBatch.from_arrays([pa.array(rid[at_doc]), pa.nulls(m, pa.int64()), texts.names.take(pa.array(at_code)), pa.array(tf.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names)
 
     numbered = rows.select("text", F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"))
     seen = table(numbered.mapInArrow(run, "rid long, doc_id long, token binary, tf long, n_known long, base double, score double"), "scores")
