@@ -49,14 +49,16 @@ def number_notes(notes: DataFrame, patient: str, order: str, note_id: str, spans
     """notes with `tokens`, one for each of its resolved spans, and masked_text (if text is given). A patient's distinct originals are numbered, not their
     occurrences; a patient with a large share of all notes costs one task only what that patient has of distinct originals."""
     # Notes alike in all that bears on tokens get the same ones, so a digest tells notes apart well enough, and it is the same in every part of the plan.
-    notes = notes.withColumn("__note", F.sha2(F.to_json(F.struct(patient, order, note_id, spans)), 256))
+    # What moves with each span is short: two digests of 16 bytes and its place.
+    digest = lambda *of: F.substring(F.unhex(F.sha2(F.to_json(F.struct(*of)), 256)), 1, 16)
+    notes = notes.withColumn("__note", digest(patient, order, note_id, spans))
     from_notes = notes.select("__note", F.col(patient).alias("__patient"), F.struct(F.col(order).alias("at"), F.col(note_id).alias("id")).alias("__at"), F.posexplode_outer(_keys(F.col(spans))).alias("__place", "__key"))
-    every = from_notes.where("__key is not null").select("__note", "__patient", "__place", "__key.*", F.struct("__at", "__place").alias("__first")).distinct()
+    every = from_notes.where("__key is not null").select("__note", "__patient", "__place", "__key.*", F.struct("__at", "__place").alias("__first"))
     first = every.groupBy("__patient", "key", "counter", "custom").agg(F.min("__first").alias("__first"))
     number = F.row_number().over(W.partitionBy("__patient", "counter", "custom").orderBy("__first", "key"))
-    given = first.withColumn("__token", _token(F.col("counter"), F.col("custom"), number)).select(F.col("__patient").alias("__of"), F.col("key").alias("__of_key"), F.col("counter").alias("__of_counter"), F.col("custom").alias("__of_custom"), "__token")
-    same = F.col("__patient").eqNullSafe(F.col("__of")) & (F.col("key") == F.col("__of_key")) & (F.col("counter") == F.col("__of_counter")) & (F.col("custom") == F.col("__of_custom"))
-    tokens = every.join(given, same).groupBy("__note").agg(F.array_sort(F.collect_list(F.struct("__place", "__token"))).alias("__tokens"))  # a note's spans, which came in one row
+    of = digest("__patient", "key", "counter", "custom").alias("__of")
+    given = first.select(of, _token(F.col("counter"), F.col("custom"), number).alias("__token"))
+    tokens = every.select("__note", "__place", of).join(given, "__of").groupBy("__note").agg(F.array_sort(F.collect_set(F.struct("__place", "__token"))).alias("__tokens"))  # a note's spans, which came in one row; of a repeated note's once
     out = notes.join(tokens, "__note", "left").withColumn("tokens", F.coalesce(F.col("__tokens.__token"), F.array().cast("array<string>"))).drop("__note", "__tokens")
     return out if text is None else _masked(out, text, spans)
 

@@ -103,3 +103,12 @@ def test_stream_in_batches_and_over_a_restart(rocks, tmp_path):
     assert {r.note_id: r.masked_text for r in whole.collect()} == {r.note_id: r.masked_text for r in twin.collect()}
     run("b", 2)
     assert tokens(run("b", 3)) == want  # a query that stopped and went on
+
+
+def test_what_moves_is_short(spark):
+    """Spans move as two digests and a place, and a repeated note's are not told apart by a shuffle of all spans."""
+    df = spark.createDataFrame(notes(), SCHEMA)
+    plan = patients.number_notes(df, "patient", "day", "note_id")._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("Exchange hashpartitioning") == 6
+    twice = patients.number_notes(df.union(df), "patient", "day", "note_id")
+    assert twice.count() == 2 * df.count() and tokens(twice) == brute(notes())
