@@ -1,5 +1,6 @@
 import random
 from itertools import product
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,3 +81,40 @@ def test_labels_of_overlaps():
     at = tagger.tokens("aa bb cc dd")
     assert list(tagger.gold_labels(at, [one(0, 5, "A"), one(3, 8, "B"), one(9, 11, "B")], known)) == [1, 2, 0, 3]
     assert list(tagger.gold_labels(at, [one(0, 2, "A"), one(3, 5, "A")], known)) == [1, 1, 0, 0]
+
+
+def plain_features(words, bits):
+    low, shape = [w.lower() for w in words], [tagger._shape(w) for w in words]
+    get = lambda of, i: of[i] if 0 <= i < len(of) else ""
+    rows = [
+        [
+            "bias", f"w {low[i]}", f"s {shape[i]}", f"a {low[i][:3]}", f"z {low[i][-3:]}", f"p {get(low, i - 1)}", f"n {get(low, i + 1)}", f"q {get(low, i - 2)} {get(low, i - 1)}", f"o {get(low, i + 1)} {get(low, i + 2)}",
+            f"t {get(shape, i - 1)} {shape[i]}", f"u {shape[i]} {get(shape, i + 1)}", f"v {get(low, i - 1)} {shape[i]}", f"y {get(low, i - 3)} {get(low, i - 2)} {shape[i]}",
+        ]
+        for i in range(len(words))
+    ]
+    return [[crc32(f.encode("utf-8", "surrogatepass")) >> 32 - bits for f in row] for row in rows]
+
+
+def test_hashes_of_many_windows_at_once():
+    rng = random.Random(8)
+    words = ["Ann", "ann", "12", "İ", "é字", "\ud800", "x" * 63, "y" * 64, "Z" * 200, "😀", "-", "_"]
+    windows = [[rng.choice(words) for _ in range(rng.randint(1, 9))] for _ in range(40)]
+    known = tagger._Words()
+    assert tagger._rows(windows, 16, known).tolist() == [row for w in windows for row in plain_features(w, 16)]
+    assert tagger.features(windows[0], 12).tolist() == plain_features(windows[0], 12) and len(known) <= len(words) + 1
+
+
+def test_training_at_once_is_training_in_turn(monkeypatch):
+    rng = random.Random(9)
+    rows = [(t, [dict(zip(("start", "end", "category"), s)) for s in spans]) for t, spans in (note(rng, FIRST, LAST) for _ in range(200))] + [("", []), ("in 1999 " * 1500, [])]
+    labels = ("O", "B-DATE", "I-DATE", "B-PATIENT", "I-PATIENT", "B-PROVIDER", "I-PROVIDER")
+    model = tagger.Model(labels, np.zeros(((1 << 12) + len(labels), len(labels)), np.float32), 12)
+    many = tagger._teach(iter(rows), model, 5.0)
+    legal, texts = tagger._legal(labels), [t for t, _ in rows]
+    tag = lambda: list(tagger.label(texts, tagger.Model(labels, many[1], 12), legal, tagger._Words()))
+    found = tag()
+    monkeypatch.setattr(tagger, "AT_ONCE", 1)
+    one = tagger._teach(iter(rows), model, 5.0)
+    assert many[0] == one[0] == 201 and (many[1] == one[1]).all() and (many[2] == one[2]).all()
+    assert found == tag() and [len(x) for x in found] == [len(tagger.tokens(t)) for t in texts]
