@@ -32,3 +32,13 @@ def test_structured_query_looks_at_gates(spark, tmp_path):
     spark.sql("select 1L as o_orderkey, 2L as o_custkey, timestamp'1995-05-14' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     df = QUERIES["spans_structured_notes"](spark, str(tmp_path))
     assert "__shape" in df._jdf.queryExecution().analyzed().toString() and df.count() == 4
+
+
+def test_tokens_given_out_stay_as_they_are(spark):
+    """Such a text is not taken apart; any other token in it still is put right."""
+    from maskwright.functions import brackets
+
+    cases = {"[PATIENT_1] (Phone: [PHONE_12]) [AGE_90+] [AGE_90+_2] ⟦x⟧": None, "[DATE_1]DATE_2[DATE_3]": "[DATE_1][DATE_2][DATE_3]", "([DATE_1]) (date 2)": "([DATE_1]) [DATE_2]", "[DOCTOR_1]": "[PROVIDER_1]", "[patient_1][MRN_2": "[PATIENT_1][MRN_2", "[[DATE_1]]": None, "[AGE_90]": "[AGE_90+]"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", brackets.normalize_tokens(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == {t: n or t for t, n in cases.items()}
+    assert P.GIVEN_TOKEN[:20] in df._jdf.queryExecution().optimizedPlan().toString()
